@@ -65,7 +65,7 @@ def scan_delimited(
     first = reader.option("header", False).csv(path).first()
     if first is None:
         raise ValueError(f"no header in {path}")
-    names = unique_headers([c.lstrip("﻿") if c else c for c in first])
+    names = unique_headers([c.lstrip("\ufeff") if c else c for c in first])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     df = spark.read.options(**options).option("header", True).schema(schema).csv(path)
     if row_ord:
