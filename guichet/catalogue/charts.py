@@ -268,7 +268,7 @@ def _chart(name: str, spec: ChartSpec, columns: list[str], sql: str, digits: int
         return _round(chart_query(declarations(spark, sf, *columns), spec), digits)
 
 
-_ORDERED = "SELECT CAST(row_number() OVER (ORDER BY {by}) AS INTEGER) AS ord, CAST(k AS VARCHAR) AS label, value FROM g"
+_ORDERED = "SELECT row_number() OVER (ORDER BY {by}) AS ord, CAST(k AS VARCHAR) AS label, value FROM g"
 
 
 def _grouped(key: str, value: str, where: str = "true") -> str:
@@ -321,7 +321,7 @@ _chart(
     ["year", "country", "committed"],
     _grouped("year", money("committed"), "country = 'NATION_7'")
     + """, t AS (SELECT * FROM g ORDER BY k DESC LIMIT 5)
-    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ord, CAST(k AS VARCHAR) AS label,
+    SELECT row_number() OVER (ORDER BY k) AS ord, CAST(k AS VARCHAR) AS label,
       round(coalesce((value / lag(value) OVER (ORDER BY k) - 1) * 100, 0), 4) AS value FROM t""",
     4,
 )
@@ -398,14 +398,14 @@ _CUT = "year BETWEEN 1996 AND 2000 AND region IN ('ASIA', 'EUROPE', 'AMERICA')"
     s AS (SELECT sector AS label, {money('committed', 4)} AS value FROM f GROUP BY 1 ORDER BY value DESC, label LIMIT 8),
     y AS (SELECT CAST(year AS VARCHAR) AS label, {money('committed', 4)} AS value FROM f GROUP BY 1),
     r AS (SELECT region AS label, {money('committed', 4)} AS value FROM f GROUP BY 1)
-    SELECT 'kpis' AS panel, 1 AS ord, 'total_millions' AS label, a AS value FROM k
+    SELECT 'kpis' AS panel, CAST(1 AS BIGINT) AS ord, 'total_millions' AS label, a AS value FROM k
     UNION ALL SELECT 'kpis', 2, 'projects', b FROM k
     UNION ALL SELECT 'kpis', 3, 'countries', c FROM k
     UNION ALL SELECT 'kpis', 4, 'mean_amount', e FROM k
-    UNION ALL SELECT 'top_countries', CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), label, value FROM c
-    UNION ALL SELECT 'sectors', CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), label, value FROM s
-    UNION ALL SELECT 'years', CAST(row_number() OVER (ORDER BY label) AS INTEGER), label, value FROM y
-    UNION ALL SELECT 'regions', CAST(row_number() OVER (ORDER BY label) AS INTEGER), label, value FROM r""",
+    UNION ALL SELECT 'top_countries', row_number() OVER (ORDER BY value DESC, label), label, value FROM c
+    UNION ALL SELECT 'sectors', row_number() OVER (ORDER BY value DESC, label), label, value FROM s
+    UNION ALL SELECT 'years', row_number() OVER (ORDER BY label), label, value FROM y
+    UNION ALL SELECT 'regions', row_number() OVER (ORDER BY label), label, value FROM r""",
 )
 def _(spark, sf):
     df = declarations(spark, sf, *PANEL.dimensions, "committed")

@@ -56,8 +56,8 @@ def _(spark, sf):
     df = _log_lines(spark, sf, "signed", "quantity")
     folded = splits.kfold(df, 5, line_order("signed", *LINE_KEY))
     scores = models.cross_validate(
-        folded, models.hourly_features([], ["quantity"]), lambda: models.fit_linear("log_committed"),
-        "log_committed", "fold", 5,
+        folded, models.hourly_features([], ["quantity"]),
+        {"LinearRegression": lambda: models.fit_linear("log_committed")}, "log_committed", "fold", 5,
     )
     return scores.select("fold", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "n")
 

@@ -16,7 +16,7 @@ from guichet.functions.numbers import finite
 from guichet.functions.text import map_columns, quoted
 from guichet.operators.profile import column_values, median, most_frequent
 from guichet.operators.ranks import number_rows
-from guichet.operators.settle import attach, is_small, settle
+from guichet.operators.settle import attach, is_small, settle, stage
 
 # One-hot needs one output column per category.
 MAX_ONE_HOT = 2000
@@ -104,14 +104,14 @@ def _one_hot(df, names, categories, drop_first) -> DataFrame:
 
 def fit_ordinal(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, value, code): codes 0, 1, … in the order of the values of a column."""
-    values = settle(column_values(df, names).select("column", "value"))
+    values = stage(column_values(df, names).select("column", "value"))
     if is_small(values):
         nth = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-        return settle(values.withColumn("code", (nth - 1).cast("double")))
+        return values.withColumn("code", (nth - 1).cast("double"))
     numbered, _ = number_rows(values, [F.col("column"), F.col("value")])
     starts = settle(numbered.groupBy("column").agg(F.min("position").alias("_start")))
     coded = attach(numbered, starts, ["column"])
-    return settle(
+    return stage(
         coded.select("column", "value", (F.col("position") - F.col("_start")).cast("double").alias("code"))
     )
 
@@ -165,7 +165,7 @@ def fit_target(
     overall = settle(rows.groupBy("_fold").agg(*sums))
 
     # One row per category and fold from here on.
-    per_fold = settle(per_fold)
+    per_fold = stage(per_fold)
     totals = per_fold.groupBy("column", "value").agg(*[F.sum(c).alias(c) for c in "nsq"])
     whole = overall.agg(*[F.sum(c).alias(c) for c in "nsq"]).first()
     n_all, s_all, q_all = whole["n"] or 0, whole["s"] or 0.0, whole["q"] or 0.0
@@ -199,7 +199,7 @@ def fit_target(
     weight = var_y * n / F.nullif(var_y * n + var_c, F.lit(0.0))
     encoding = F.coalesce(weight * mean_c + (1 - weight) * mean_y, mean_y) + center
     fitted = stats.select("column", "value", F.col("_fold").alias("fold"), encoding.alias("encoding"))
-    return settle(fitted), center
+    return stage(fitted), center
 
 
 def target_encode(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guichet.functions.numbers import exact_sum
 from guichet.functions.text import quoted
-from guichet.operators.settle import attach, settle
+from guichet.operators.settle import attach, stage
 
 
 def dedup_exact(df: DataFrame, subset: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -39,7 +39,7 @@ def broadcast_group_sum(
     """
     rest = [c for c in df.columns if c not in names]
     keyed_rows = df.where(quoted(key).isNotNull())
-    sums = settle(
+    sums = stage(
         keyed_rows.groupBy(quoted(key)).agg(*[exact_sum(quoted(c), scale).alias(c) for c in names])
     )
     joined = attach(df.select(*[quoted(c) for c in rest]), sums, [key])

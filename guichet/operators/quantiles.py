@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guichet.functions.numbers import finite
 from guichet.functions.text import quoted
-from guichet.operators.settle import settle
 
 ACCURACY = 100_000
+_RANKS = "column string, prob double, lower long, upper long, part double"
 
 
 def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -85,28 +85,33 @@ def _bracketed(long, names, probs, margin) -> DataFrame | None:
     cell = F.lit(None).cast("struct<value:double,gap:boolean>")
     for name, pairs in brackets.items():
         cell = F.when(F.col("column") == name, _cell(F.col("value"), pairs)).otherwise(cell)
+    # Per column: the values inside the brackets, a few per 100,000 rows, and the gaps.
     upto = Window.partitionBy("column").orderBy("cell.value", "cell.gap")
-    cells = settle(
+    cells = (
         long.groupBy("column", cell.alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(upto))
-        .select("column", "cell.value", "cell.gap", "upto")
+        .select("column", "cell.value", "cell.gap", F.sum("n").over(upto).alias("upto"))
     )
-    ranks = long.sparkSession.createDataFrame(
-        wanted, "column string, prob double, lower long, upper long, part double"
-    )
-    # As many rows as columns times probabilities on one side.
-    hits = cells.join(F.broadcast(ranks), "column").groupBy("column", "prob", "part").agg(
-        *[
-            F.min(F.when(F.col("upto") > F.col(end), F.struct("upto", "value", "gap"))).alias(end)
-            for end in ("lower", "upper")
-        ]
+    ranks = long.sparkSession.createDataFrame(wanted, _RANKS)
+    # As many rows as columns times probabilities on one side, and in the result.
+    hits = (
+        cells.join(F.broadcast(ranks), "column")
+        .groupBy("column", "prob", "part")
+        .agg(
+            *[
+                F.min(F.when(F.col("upto") > F.col(end), F.struct("upto", "value", "gap"))).alias(end)
+                for end in ("lower", "upper")
+            ]
+        )
+        .collect()
     )
-    hits = settle(hits)
-    if hits.where("lower.gap or upper.gap").limit(1).count():
+    if any(hit[end]["gap"] for hit in hits for end in ("lower", "upper")):
         return None
-    low, high = F.col("lower.value"), F.col("upper.value")
-    return hits.select("column", "prob", (low + (high - low) * F.col("part")).alias("value"))
+    found = []
+    for hit in hits:
+        low, high = hit["lower"]["value"], hit["upper"]["value"]
+        found.append((hit["column"], hit["prob"], low + (high - low) * hit["part"]))
+    return long.sparkSession.createDataFrame(found, "column string, prob double, value double")
 
 
 def median(df: DataFrame, names: Sequence[str]) -> DataFrame:

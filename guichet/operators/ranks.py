@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from guichet.operators.settle import settle
+from guichet.operators.settle import settle, stage
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -21,7 +21,7 @@ def number_rows(
     has to be a total order, which also lets a hot leading value be split.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    slots = settle(spread.withColumn("_slot", F.monotonically_increasing_id()))
+    slots = stage(spread.withColumn("_slot", F.monotonically_increasing_id()))
     part = F.shiftright("_slot", _SLOT_BITS)
 
     # One row per partition.

@@ -1,8 +1,8 @@
 """Ordered results: period changes, the last periods, and a sentence about them.
 
-These work on aggregated series, with one row per year, month, quarter or shown
-category. Windows over the whole series are therefore as long as the calendar or
-the chart, never as long as the table.
+A series is an aggregate with one row per year, month, quarter or category. It is
+ordered in one task only if its counted length allows, and with distributed row
+numbers otherwise.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from guichet import vocabulary as V
 from guichet.functions.numbers import format_number_fr
 from guichet.functions.text import quoted
+from guichet.operators.ranks import number_rows
+from guichet.operators.settle import is_short, settle
 
 
 def _in_order(*order: Column):
@@ -23,10 +25,22 @@ def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_first(quoted(order))).limit(n).orderBy(quoted(order))
 
 
-def pct_change(df: DataFrame, order: str, value: str, name: str = "change") -> DataFrame:
-    """Change against the row before in percent; the first row and 0/0 give 0."""
-    before = F.lag(quoted(value)).over(_in_order(quoted(order)))
-    now = quoted(value)
+def pct_change(
+    df: DataFrame, order: str, value: str, name: str = "change", bounded: bool = False
+) -> DataFrame:
+    """Change against the row before in percent; the first row and 0/0 give 0.
+
+    ``bounded`` says that the series is known to be short, after ``last_n`` for one.
+    """
+    if not bounded:
+        df = settle(df)
+    if bounded or is_short(df):
+        pairs = df.withColumn("_before", F.lag(quoted(value)).over(_in_order(quoted(order))))
+    else:
+        rows, _ = number_rows(df, [quoted(order)], "_place")
+        shifted = rows.select((F.col("_place") + 1).alias("_place"), quoted(value).alias("_before"))
+        pairs = rows.join(shifted, "_place", "left").drop("_place")
+    before, now = F.col("_before"), quoted(value)
     infinite = F.lit(float("inf"))
     change = (
         F.when(before.isNull() | now.isNull(), 0.0)
@@ -35,15 +49,22 @@ def pct_change(df: DataFrame, order: str, value: str, name: str = "change") -> D
         .when(before == 0, -infinite)
         .otherwise((now / F.nullif(before, F.lit(0.0)) - 1) * 100)
     )
-    return df.withColumn(name, change)
-
-
-def numbered(df: DataFrame, label: Column, value: Column, *order: Column) -> DataFrame:
-    """A short series as (ord, label, value), ``ord`` starting at 1."""
+    return pairs.withColumn(name, change).drop("_before")
+
+
+def numbered(
+    df: DataFrame, label: Column, value: Column, *order: Column, bounded: bool = False
+) -> DataFrame:
+    """A series as (ord, label, value), ``ord`` starting at 1."""
+    if not bounded:
+        df = settle(df)
+    if bounded or is_short(df):
+        place = F.row_number().over(_in_order(*order)).cast("long")
+    else:
+        df, _ = number_rows(df, order, "_place")
+        place = F.col("_place") + 1
     return df.select(
-        F.row_number().over(_in_order(*order)).alias("ord"),
-        label.cast("string").alias("label"),
-        value.cast("double").alias("value"),
+        place.alias("ord"), label.cast("string").alias("label"), value.cast("double").alias("value")
     )
 
 

@@ -1,8 +1,10 @@
-"""Joining fitted side tables, with checked sizes and without hot tasks."""
+"""Derived tables: writing them down, checking their size, joining them back."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,10 +16,12 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key is hot above this share of all rows, so at most HOT_KEYS keys are hot.
 HOT_KEYS = 1000
+# A series up to this length may be ordered in one task.
+SERIES_ROWS = 100_000
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a derived table to the shared checkpoint folder and read it from there.
+    """Write a small derived table to the shared checkpoint folder and read it from there.
 
     What follows sees the same rows however often tasks are rerun.
     """
@@ -25,15 +29,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The same for tables as long as the data: Parquet, so later steps read only the
+    columns they use."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a settled table may be broadcast."""
-    size = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.length(F.to_json(F.struct(*[quoted(c) for c in df.columns])))), F.lit(0)).alias("bytes"),
-    ).first()
+    bytes_ = F.sum(F.length(F.to_json(F.struct(*[quoted(c) for c in df.columns]))))
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(bytes_, F.lit(0)).alias("bytes")).first()
     return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
 
 
+def is_short(df: DataFrame) -> bool:
+    """Whether a settled series may be ordered in one task."""
+    return df.limit(SERIES_ROWS + 1).count() <= SERIES_ROWS
+
+
 def join_side(df: DataFrame, side: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Join a settled table: broadcast if it is small, else by shuffle."""
     return df.join(F.broadcast(side) if is_small(side) else side, list(on), how)
@@ -54,27 +71,33 @@ def attach(
     if is_small(fitted) if small is None else small:
         return df.join(F.broadcast(fitted), on, "left")
 
-    added = [f for f in fitted.schema.fields if f.name not in on]
-    names = [quoted(c) for c in on] + [quoted(c) for c in df.columns if c not in on]
-    df = df.select(*names)
-    matchable = F.lit(True)
-    for key in on:
-        matchable = matchable & quoted(key).isNotNull()
-
     keys = [quoted(c) for c in on]
-    counts = df.where(matchable).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = settle(counts)
-    everything = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    hot = settle(counts.where(F.col("_rows") * HOT_KEYS > everything).drop("_rows"))
-    hot_side = fitted.join(F.broadcast(hot), on, "left_semi")
-
-    keyed_rows = df.where(matchable)
-    by_broadcast = keyed_rows.join(F.broadcast(hot), on, "left_semi").join(
-        F.broadcast(hot_side), on, "left"
-    )
-    by_shuffle = keyed_rows.join(F.broadcast(hot), on, "left_anti").join(fitted, on, "left")
-    unmatched = df.where(~matchable).select(
-        *[quoted(c) for c in df.columns],
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in added],
-    )
-    return by_broadcast.unionByName(by_shuffle).unionByName(unmatched)
+    df = df.select(*keys, *[quoted(c) for c in df.columns if c not in on])
+    has_key = reduce(lambda a, b: a & b, [c.isNotNull() for c in keys])
+
+    counts = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    totals = counts.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"),
+        F.coalesce(F.sum(F.when(~has_key, F.col("_rows"))), F.lit(0)).alias("without_key"),
+    ).first()
+    hot = settle(counts.where(has_key & (F.col("_rows") * HOT_KEYS > totals["all"])).drop("_rows"))
+
+    keyed_rows = df.where(has_key)
+    parts = []
+    if hot.isEmpty():
+        parts.append(keyed_rows.join(fitted, on, "left"))
+    else:
+        hot_side = settle(fitted.join(F.broadcast(hot), on, "left_semi"))
+        parts.append(
+            keyed_rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_side), on, "left")
+        )
+        parts.append(keyed_rows.join(F.broadcast(hot), on, "left_anti").join(fitted, on, "left"))
+    if totals["without_key"]:
+        added = [f for f in fitted.schema.fields if f.name not in on]
+        parts.append(
+            df.where(~has_key).select(
+                *[quoted(c) for c in df.columns],
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in added],
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)

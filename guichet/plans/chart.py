@@ -17,6 +17,7 @@ from guichet.functions.text import quoted
 from guichet.operators.aggregate import keyed, measure
 from guichet.operators.filters import filter_cmp, filter_in
 from guichet.operators.series import last_n, numbered, pct_change
+from guichet.operators.settle import is_short
 
 PAYLOAD_FIELDS = ["type", "title", "labels", "values", "x_label", "y_label", "unit", "value", "columns", "rows"]
 
@@ -97,11 +98,13 @@ def chart_query(df: DataFrame, spec: ChartSpec) -> DataFrame:
         grouped = last_n(grouped, "_label", spec.last_n)
     if limit:
         grouped = grouped.orderBy(*order).limit(limit)
+    # Limits and calendar labels bound the series; other line charts are counted.
+    bounded = bool(limit or spec.last_n or spec.period)
     value = F.col("_value")
     if spec.pct_change:
-        grouped = pct_change(grouped, "_label", "_value", "_change")
+        grouped = pct_change(grouped, "_label", "_value", "_change", bounded)
         value = F.col("_change")
-    return numbered(grouped, F.col("_label"), value, *order)
+    return numbered(grouped, F.col("_label"), value, *order, bounded=bounded)
 
 
 def _table(df: DataFrame, spec: ChartSpec) -> DataFrame:
@@ -122,11 +125,13 @@ def _rounded(c: Column) -> Column:
 def to_payload(result: DataFrame, spec: ChartSpec) -> DataFrame:
     """The JSON payload of a chart, in one row.
 
-    A payload is one cell, so a table needs a limit; without one, use the result of
-    ``chart_query`` itself.
+    A payload is one cell, so a table needs a limit and a line has to be short; for
+    more than that, use the result of ``chart_query`` itself.
     """
     text = {"title": F.lit(spec.title)}
     if spec.type in ("bar", "line", "pie"):
+        if not (spec.limit or spec.last_n or spec.period) and not is_short(result):
+            raise ValueError("this line is too long for a payload; give it a limit")
         items = F.array_sort(F.collect_list(F.struct("ord", "label", _rounded(F.col("value")).alias("value"))))
         fields = result.agg(items.alias("items"))
         text |= {

@@ -95,7 +95,7 @@ def dashboard_panels(panels: dict[str, DataFrame]) -> DataFrame:
     parts = [
         kpis.select(*[F.col(c).cast("double").alias(c) for c in kpis.columns])
         .unpivot([], kpis.columns, "label", "value")
-        .withColumn("ord", F.array_position(F.array(*[F.lit(c) for c in kpis.columns]), F.col("label")).cast("int"))
+        .withColumn("ord", F.array_position(F.array(*[F.lit(c) for c in kpis.columns]), F.col("label")).cast("long"))
         .select(F.lit("kpis").alias("panel"), "ord", "label", "value")
     ]
     for name in ("top_countries", "sectors", "years", "regions"):
@@ -103,6 +103,8 @@ def dashboard_panels(panels: dict[str, DataFrame]) -> DataFrame:
         key = quoted(panel.columns[0])
         order = [F.desc("value"), key] if name in ("top_countries", "sectors") else [key]
         parts.append(
-            numbered(panel, key, F.col("value"), *order).select(F.lit(name).alias("panel"), "ord", "label", "value")
+            numbered(
+                panel, key, F.col("value"), *order, bounded=name in ("top_countries", "sectors")
+            ).select(F.lit(name).alias("panel"), "ord", "label", "value")
         )
     return reduce(DataFrame.unionByName, parts)

@@ -26,6 +26,7 @@ from guichet.functions.text import (
 )
 from guichet.operators import columns, filters
 from guichet.operators.projects import project_rollup
+from guichet.operators.settle import stage
 from guichet.sources.delimited import ROW_ORD
 
 
@@ -60,10 +61,13 @@ def build_explore_dataset(
     markers: Sequence[str] = tuple(V.MARKERS),
     merges: Mapping[str, Mapping[str, str]] = V.EXPLORE_LABELS,
     date_formats: Sequence[str] = tuple(V.DAY_FIRST_FORMATS),
+    staged: bool = False,
 ) -> DataFrame:
     """One row per project, readable labels, amounts added up.
 
-    ``order`` is the row order of ``raw`` (its ``row_ord`` column by default).
+    ``order`` is the row order of ``raw`` (its ``row_ord`` column by default). Which
+    columns are sparse is known only after a pass over the table; with ``staged`` the
+    parsed rows are written as Parquet first, so that text files are parsed once.
     """
     carried = [ROW_ORD] if ROW_ORD in raw.columns else []
     order = [F.col(c) for c in carried] if order is None else list(order)
@@ -76,6 +80,8 @@ def build_explore_dataset(
     df = columns.drop_if_present(
         df, V.REDUNDANT_CODES + V.IDENTIFIERS + V.LONG_TEXTS + V.OTHER_DATES + V.MISCELLANEOUS
     )
+    if staged:
+        df = stage(df)
     df = columns.prune_sparse_columns(
         df, 90.0, protect=[V.COMMITTED, V.COMMITMENT_DATE, V.PROJECT_KEY, *carried]
     )
@@ -110,9 +116,13 @@ def build_hourly_features(
     numbers: Sequence[str] = tuple(V.HOURLY_NUMBERS),
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The features that exist, complete rows only, and the log of the payment."""
+    """The features that exist, complete rows only, and the log of the payment.
+
+    A listed category that holds nothing but numbers becomes a number.
+    """
     df = clean.withColumn(V.LOG_PAID, log_amount(quoted(amount)))
     df = columns.keep_if_present(df, [*categories, *numbers, V.LOG_PAID, *keep])
+    df = columns.infer_numbers(df, [c for c in categories if c in df.columns])
     return filters.drop_nulls_subset(df, [c for c in df.columns if c not in keep])
 
 
