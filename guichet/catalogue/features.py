@@ -30,7 +30,7 @@ def _with_gaps(spark, sf, *names):
 
 def _gaps_sql(*names: str) -> str:
     gaps = ", ".join(f"{_SOME.format(c=c)} AS {c}" for c in names)
-    return D + f", g AS (SELECT {_ID}, financing, {gaps} FROM d) "
+    return D + f", g AS (SELECT {_ID}, financing, marker, {gaps} FROM d) "
 
 
 @register(
@@ -156,10 +156,9 @@ def _(spark, sf):
 @register(
     "feature_table",
     _gaps_sql("region", "channel", "quantity")
-    + f""", m AS (SELECT median(quantity) AS q FROM g), x AS (SELECT {_ID}, marker FROM d)
+    + f""", m AS (SELECT median(quantity) AS q FROM g)
     SELECT {_ID}, {_dummies('region', _REGIONS[1:])}, {_dummies('channel', _CHANNELS[1:])},
-      coalesce(quantity, q) AS quantity, CAST(marker > 0 AS INTEGER) AS marker
-    FROM g JOIN x USING ({_ID}), m""",
+      coalesce(quantity, q) AS quantity, CAST(marker > 0 AS INTEGER) AS marker FROM g, m""",
 )
 def _(spark, sf):
     d = declarations(spark, sf, *LINE_KEY, "financing", "region", "channel", "quantity", "marker")
