@@ -217,6 +217,18 @@ def _(spark, sf):
 
 # Series --------------------------------------------------------------------------
 
+@register(
+    "largest_orders",
+    """SELECT o_orderkey, o_totalprice FROM orders
+    ORDER BY CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END DESC NULLS LAST, o_orderkey LIMIT 25""",
+)
+def _(spark, sf):
+    orders = scan_table(spark, sf, "orders")
+    gaps = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice")).alias("known")
+    top = series.head(orders.select("o_orderkey", "o_totalprice", gaps), "known", 25, "o_orderkey")
+    return top.drop("known")
+
+
 _YEARS = f"y AS (SELECT year, {money('committed')} AS value FROM d GROUP BY year)"
 _LAST = "t AS (SELECT * FROM y ORDER BY year DESC LIMIT 5)"
 

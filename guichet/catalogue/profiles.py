@@ -29,7 +29,6 @@ def _(spark, sf):
 
 
 _PROFILED = ["region", "country", "agency", "product", "sector", "priority"]
-_ORDER = "project, line, part, supplier"
 
 
 def _profile_sql() -> str:
@@ -42,7 +41,7 @@ def _profile_sql() -> str:
             THEN '- ''{c}'' (texte) valeurs: ' || string_agg('''' || v || '''', ', ' ORDER BY v)
             ELSE '- ''{c}'' (texte, ' || count(*) || ' modalités, ex: '
               || array_to_string(list('''' || v || '''' ORDER BY p, v)[1:3], ', ') || ')' END AS line
-          FROM (SELECT {c} AS v, min(struct_pack(a := project, b := line, c := part, d := supplier)) AS p
+          FROM (SELECT {c} AS v, min(project * 8 + line) AS p
             FROM d GROUP BY {c})""")
     parts.append(f"""SELECT {len(_PROFILED)}, 'year', 'int', NULL, NULL, NULL, '- ''year'' (int)'""")
     parts.append(f"""SELECT {len(_PROFILED) + 1}, 'committed', 'double', NULL, NULL, NULL, '- ''committed'' (double)'""")
@@ -51,8 +50,8 @@ def _profile_sql() -> str:
 
 @register("column_profile", _profile_sql())
 def _(spark, sf):
-    d = declarations(spark, sf, *_PROFILED, "year", "committed", *LINE_KEY)
-    shown = d.withColumn("_seen", F.struct(*LINE_KEY)).drop(*LINE_KEY)
+    d = declarations(spark, sf, *_PROFILED, "year", "committed", "project", "line")
+    shown = d.withColumn("_seen", F.col("project") * 8 + F.col("line")).drop("project", "line")
     df = profile.profile_columns(shown, F.col("_seen")).where("column <> '_seen'")
     return df.withColumn("mean_length", F.round("mean_length", 6))
 

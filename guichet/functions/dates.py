@@ -17,14 +17,12 @@ def parse_date(c: Column, formats: Sequence[str] = tuple(V.DAY_FIRST_FORMATS)) -
 
 
 def period_label(c: Column, period: str) -> Column:
-    """``M`` gives ``2020-04``, ``Q`` gives ``2020Q2``, ``Y`` the year; null stays null."""
+    """``M`` gives ``2020-04``, ``Q`` gives ``2020Q2``; null stays null."""
     if period == "M":
         return F.date_format(c, "yyyy-MM")
     if period == "Q":
         return F.date_format(c, "yyyy'Q'q")
-    if period == "Y":
-        return F.date_format(c, "yyyy")
-    raise ValueError(f"period must be M, Q or Y, not {period!r}")
+    raise ValueError(f"period must be M or Q, not {period!r}")
 
 
 def date_parts(

@@ -10,13 +10,12 @@ from guichet import vocabulary as V
 from guichet.functions.text import map_columns
 
 # What counts as a number in text. Spark's own cast also takes "1d" and "1f".
-_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+|inf|infinity)(e[+-]?\d+)?\s*$"
+_NUMBER = r"(?i)^[+-]?(?:\d+\.?\d*|\.\d+|inf|infinity)(?:e[+-]?\d+)?$"
 
 
 def to_number(c: Column) -> Column:
     """A lenient double: text that is not a number is null, and so is NaN."""
-    text = c.cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.regexp_extract(F.trim(c.cast("string")), _NUMBER, 0).try_cast("double")
 
 
 def parse_fr_decimal(c: Column) -> Column:
@@ -59,7 +58,7 @@ def marker_as_category(df: DataFrame, names: Iterable[str] = tuple(V.CATEGORY_MA
 
 def grant_ratio(grant: Column, committed: Column) -> Column:
     """Grant share of the commitment in [0, 1]; null without a positive commitment."""
-    num, den = to_number(grant), to_number(committed)
+    num, den = finite(grant), finite(committed)
     share = F.greatest(F.least(num / den, F.lit(1.0)), F.lit(0.0))
     return F.when((den > 0) & num.isNotNull(), share)
 

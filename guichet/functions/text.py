@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from guichet import vocabulary as V
 
-# Unicode white space plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+# Unicode white space and the four ASCII separators, other than the blank.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(
+    chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 
 def quoted(name: str) -> Column:
@@ -36,16 +38,22 @@ def missing_to_null(c: Column, tokens=tuple(V.MISSING_TOKENS)) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
+def squeeze(c: Column) -> Column:
+    """Straight apostrophes, no outer white space, single inner blanks."""
+    blanks = F.translate(c, "’" + _SPACES, "'" + " " * len(_SPACES))
+    return F.trim(F.regexp_replace(blanks, "  +", " "))
+
+
 def normalize_text(c: Column) -> Column:
-    """Straight apostrophes, no outer white space, single inner blanks; ``nan`` is null."""
-    straight = F.replace(c, F.lit("’"), F.lit("'"))
-    stripped = F.regexp_replace(straight, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
-    single = F.regexp_replace(stripped, f"(?U){_SPACE}+", " ")
-    return F.nullif(single, F.lit("nan"))
+    """The same, and the text ``nan`` is null."""
+    return F.nullif(squeeze(c), F.lit("nan"))
 
 
 def normalize_texts(df: DataFrame) -> DataFrame:
-    return map_columns(df, text_columns(df), normalize_text)
+    """``normalize_text`` on every text column, in two projections so that no text is
+    squeezed twice."""
+    names = text_columns(df)
+    return map_columns(map_columns(df, names, squeeze), names, lambda c: F.nullif(c, F.lit("nan")))
 
 
 def merge_labels(df: DataFrame, merges: Mapping[str, Mapping[str, str]]) -> DataFrame:

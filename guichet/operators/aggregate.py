@@ -17,7 +17,7 @@ from guichet.functions.text import quoted
 
 
 def measure(name: str | None, how: str = "sum", scale: int | None = 6) -> Column:
-    """An aggregate by name: sum, mean, count, nunique, min or max."""
+    """An aggregate by name: sum, mean, count or nunique."""
     if how == "count":
         return F.count(F.lit(1)) if name is None else F.count(quoted(name))
     if name is None:
@@ -29,9 +29,7 @@ def measure(name: str | None, how: str = "sum", scale: int | None = 6) -> Column
         return exact_mean(c, scale)
     if how == "nunique":
         return F.count_distinct(c)
-    if how in ("min", "max"):
-        return getattr(F, how)(c)
-    raise ValueError(f"unknown measure {how!r}: sum, mean, count, nunique, min or max")
+    raise ValueError(f"unknown measure {how!r}: sum, mean, count or nunique")
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:

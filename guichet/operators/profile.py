@@ -46,7 +46,8 @@ def profile_columns(
     """One row per column: type, distinct values and a line describing them.
 
     Text columns with few and short values list all of them in order; the others
-    show the first three in row order. ``order`` says which value was seen first.
+    show the first three in row order. ``order`` says which value was seen first; with a long it stays a
+    hash aggregate.
     """
     texts = text_columns(df)
     positions = {c: i for i, c in enumerate(df.columns)}

@@ -20,6 +20,18 @@ def _in_order(*order: Column):
     return Window.partitionBy(F.lit(1)).orderBy(*order)
 
 
+def sort_by(df: DataFrame, name: str, *ties: str, descending: bool = False) -> DataFrame:
+    """Rows in the order of a column, nulls last either way, then of ``ties``."""
+    c = quoted(name)
+    first = c.desc_nulls_last() if descending else c.asc_nulls_last()
+    return df.orderBy(first, *[quoted(t) for t in ties])
+
+
+def head(df: DataFrame, name: str, n: int, *ties: str, descending: bool = True) -> DataFrame:
+    """The first ``n`` rows in that order; each task keeps only its own ``n``."""
+    return sort_by(df, name, *ties, descending=descending).limit(n)
+
+
 def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
     """The ``n`` last rows, in ascending order."""
     return df.orderBy(F.desc_nulls_first(quoted(order))).limit(n).orderBy(quoted(order))

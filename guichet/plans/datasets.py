@@ -15,6 +15,7 @@ from guichet.functions.numbers import (
     parse_amounts,
     parse_fr_decimal,
     require_int,
+    to_number,
 )
 from guichet.functions.text import (
     capitalize,
@@ -46,10 +47,13 @@ def build_model_dataset(
     df = merge_labels(df, merges)
     df = binarize_markers(df, markers)
     if V.GRANT_EQUIVALENT in df.columns and V.COMMITTED in df.columns:
-        ratio = grant_ratio(quoted(V.GRANT_EQUIVALENT), quoted(V.COMMITTED))
+        df = df.withColumns(
+            {"_grant": to_number(quoted(V.GRANT_EQUIVALENT)), "_committed": to_number(quoted(V.COMMITTED))}
+        )
+        ratio = grant_ratio(F.col("_grant"), F.col("_committed"))
     else:
         ratio = F.lit(None).cast("double")
-    df = df.withColumn(V.GRANT_RATIO, ratio)
+    df = columns.drop_if_present(df.withColumn(V.GRANT_RATIO, ratio), ["_grant", "_committed"])
     if V.FINANCING_TYPE in df.columns:
         df = df.withColumn(V.FINANCING_CLASS, financing_class(quoted(V.FINANCING_TYPE)))
     return df
@@ -61,13 +65,13 @@ def build_explore_dataset(
     markers: Sequence[str] = tuple(V.MARKERS),
     merges: Mapping[str, Mapping[str, str]] = V.EXPLORE_LABELS,
     date_formats: Sequence[str] = tuple(V.DAY_FIRST_FORMATS),
-    staged: bool = False,
+    staged: bool = True,
 ) -> DataFrame:
     """One row per project, readable labels, amounts added up.
 
     ``order`` is the row order of ``raw`` (its ``row_ord`` column by default). Which
-    columns are sparse is known only after a pass over the table; with ``staged`` the
-    parsed rows are written as Parquet first, so that text files are parsed once.
+    columns are sparse is known only after a pass over the table, so the parsed rows are
+    written as Parquet first and text is parsed once; ``staged=False`` parses it twice.
     """
     carried = [ROW_ORD] if ROW_ORD in raw.columns else []
     order = [F.col(c) for c in carried] if order is None else list(order)

@@ -155,6 +155,14 @@ def test_metrics(spark):
 # Series --------------------------------------------------------------------------
 
 
+def test_nulls_sort_last_both_ways(sales):
+    up = [r["amount"] for r in series.sort_by(sales, "amount", "key").collect()]
+    down = [r["amount"] for r in series.sort_by(sales, "amount", "key", descending=True).collect()]
+    assert up == [1.0, 5.5, 10.0, 15.5, 100.0, None]
+    assert down == [100.0, 15.5, 10.0, 5.5, 1.0, None]
+    assert [r["key"] for r in series.head(sales, "amount", 2, "key").collect()] == [None, "b"]
+
+
 def test_changes(spark):
     values = [(1, 0.0), (2, 0.0), (3, 5.0), (4, 10.0), (5, -5.0), (6, 0.0), (7, -1.0)]
     df = spark.createDataFrame(values, "y int, v double")
