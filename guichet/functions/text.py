@@ -38,22 +38,31 @@ def missing_to_null(c: Column, tokens=tuple(V.MISSING_TOKENS)) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
-def squeeze(c: Column) -> Column:
-    """Straight apostrophes, no outer white space, single inner blanks."""
-    blanks = F.translate(c, "’" + _SPACES, "'" + " " * len(_SPACES))
-    return F.trim(F.regexp_replace(blanks, "  +", " "))
+def _plain_blanks(c: Column) -> Column:
+    """Straight apostrophes, every white space a blank, none at the ends."""
+    return F.trim(F.translate(c, "’" + _SPACES, "'" + " " * len(_SPACES)))
+
+
+def _single_blanks(c: Column) -> Column:
+    return F.when(c.contains("  "), F.regexp_replace(c, "  +", " ")).otherwise(c)
+
+
+def _known(c: Column) -> Column:
+    return F.nullif(c, F.lit("nan"))
 
 
 def normalize_text(c: Column) -> Column:
-    """The same, and the text ``nan`` is null."""
-    return F.nullif(squeeze(c), F.lit("nan"))
+    """Straight apostrophes, no outer white space, single inner blanks; ``nan`` is null."""
+    return _known(_single_blanks(_plain_blanks(c)))
 
 
 def normalize_texts(df: DataFrame) -> DataFrame:
-    """``normalize_text`` on every text column, in two projections so that no text is
-    squeezed twice."""
+    """``normalize_text`` on every text column, one projection per step: each step uses
+    its input more than once, and so it is computed only once."""
     names = text_columns(df)
-    return map_columns(map_columns(df, names, squeeze), names, lambda c: F.nullif(c, F.lit("nan")))
+    for step in (_plain_blanks, _single_blanks, _known):
+        df = map_columns(df, names, step)
+    return df
 
 
 def merge_labels(df: DataFrame, merges: Mapping[str, Mapping[str, str]]) -> DataFrame:
