@@ -396,6 +396,63 @@ def _(spark, sf):
     )
 
 
+_FR = "replace(replace(format('{{:,.2f}}', {v}), ',', ' '), '.', ',')"
+
+
+@register(
+    "summary_of_the_total",
+    f"""SELECT {money('l_extendedprice')} AS value, '**Total** : ' || CASE WHEN {money('l_extendedprice')} % 1 = 0
+      THEN replace(format('{{:,}}', CAST({money('l_extendedprice')} AS BIGINT)), ',', ' ')
+      ELSE {_FR.format(v=money('l_extendedprice'))} END || ' K EUR.' AS summary FROM lineitem""",
+)
+def _(spark, sf):
+    spec = ChartSpec(type="scalar", measure="committed")
+    total = _round(chart_query(declarations(spark, sf, "committed"), spec))
+    return series.summarize_scalar(total, "value", "Total", "K EUR")
+
+
+@register(
+    "summary_of_a_table",
+    D + """SELECT count(*) AS rows, '**Détail** — ' || count(*) || ' ligne(s), 3 colonne(s).' AS summary
+    FROM (SELECT DISTINCT region, agency FROM d)""",
+)
+def _(spark, sf):
+    spec = ChartSpec(type="table", keys=["region", "agency"], measures=[("sum", "committed")])
+    table = chart_query(declarations(spark, sf, "region", "agency", "committed"), spec)
+    return series.summarize_table(table, "Détail")
+
+
+@register(
+    "payload_of_monthly_line",
+    f"""SELECT 'line' AS type, strftime(l_shipdate, '%Y-%m') AS label, {money('l_extendedprice')} AS value
+    FROM lineitem GROUP BY 2""",
+)
+def _(spark, sf):
+    spec = ChartSpec(type="line", date="signed", period="M", measure="committed")
+    payload = to_payload(chart_query(declarations(spark, sf, "signed", "committed"), spec), spec)
+    schema = "type string, labels array<string>, values array<double>"
+    read = payload.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    return read.select("type", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("values").alias("value"))))
+
+
+@register(
+    "payload_of_a_table",
+    D + f""", g AS (SELECT sector, {money('committed')} AS value, count(*) AS n FROM d GROUP BY sector
+      ORDER BY value DESC, sector LIMIT 5)
+    SELECT ['sector', 'sum_committed', 'count'] AS columns, sector, value, n FROM g""",
+)
+def _(spark, sf):
+    spec = ChartSpec(type="table", keys=["sector"], measures=[("sum", "committed"), ("count", None)], limit=5)
+    payload = to_payload(chart_query(declarations(spark, sf, "sector", "committed"), spec), spec)
+    read = payload.select(F.from_json("payload", "columns array<string>, rows array<array<string>>").alias("p"))
+    return read.select("p.columns", F.explode("p.rows").alias("row")).select(
+        "columns",
+        F.get("row", F.lit(0)).alias("sector"),
+        F.get("row", F.lit(1)).cast("double").alias("value"),
+        F.get("row", F.lit(2)).cast("long").alias("n"),
+    )
+
+
 # Dashboard -----------------------------------------------------------------------
 
 _CUT = "year BETWEEN 1996 AND 2000 AND region IN ('ASIA', 'EUROPE', 'AMERICA')"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from guichet import vocabulary as V
@@ -12,7 +10,7 @@ from guichet.functions import dates, numbers, text
 from guichet.operators import columns, filters
 from guichet.plans import datasets
 from guichet.plans.star import LINE_KEY, line_order, raw_declarations
-from guichet.session import ensure_checkpoint_dir
+from guichet.session import shared_folder
 from guichet.sources.delimited import scan_clean_csv, scan_delimited
 from guichet.sources.files import scan_table, write_csv, write_parquet
 
@@ -341,15 +339,9 @@ def _(spark, sf):
 # Files ---------------------------------------------------------------------------
 
 
-def _shared_folder(spark) -> str:
-    """A new folder next to the checkpoints, reachable from every executor."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 @register("delimited_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents")
 def _(spark, sf):
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     docs = scan_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     docs.write.options(header=True, sep=";", quote='"', escape='"').csv(folder)
     return scan_delimited(spark, folder, row_ord=None)
@@ -357,7 +349,7 @@ def _(spark, sf):
 
 @register("clean_csv_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def _(spark, sf):
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     talks = scan_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     write_csv(talks, folder)
     return scan_clean_csv(spark, folder, talks.schema)
@@ -365,7 +357,7 @@ def _(spark, sf):
 
 @register("parquet_round_trip", "SELECT page_id, url, html FROM pages")
 def _(spark, sf):
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     write_parquet(scan_table(spark, sf, "pages"), folder)
     return spark.read.parquet(folder)
 

@@ -11,7 +11,8 @@ from guichet.operators import aggregate, models, splits
 from guichet.plans.scoring import score_batch
 from guichet.plans.star import LINE_KEY, declarations, line_order
 from guichet.plans.training import train_and_select, train_forest_tracked
-from guichet.sources.files import scan_table
+from guichet.session import shared_folder
+from guichet.sources.files import read_metrics, scan_table, write_metrics
 
 _ID = "project, line, part, supplier"
 # Trees per forest in the registered queries; the library's default is 100.
@@ -84,6 +85,48 @@ def _(spark, sf):
 _ERR = "l_extendedprice - l_quantity * 2000"
 
 
+def _by_quantity(spark, sf):
+    li = scan_table(spark, sf, "lineitem")
+    return li.select(
+        F.year("l_shipdate").alias("year"), "l_extendedprice", (F.col("l_quantity") * 2000).alias("prediction")
+    )
+
+
+_SCORES = f"""round(sqrt(avg(({_ERR}) * ({_ERR}))), 4) AS rmse, round(avg(abs({_ERR})), 4) AS mae,
+  round(1 - sum(({_ERR}) * ({_ERR})) / (var_pop(l_extendedprice) * count(*)), 8) AS r2, count(*) AS n"""
+
+
+@register(
+    "metrics_round_trip",
+    f"SELECT CAST(year(l_shipdate) AS INTEGER) AS year, {_SCORES} FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    measured = aggregate.regression_metrics(_by_quantity(spark, sf), "l_extendedprice", "prediction", ["year"])
+    folder = shared_folder(spark)
+    write_metrics(measured, folder)
+    back = read_metrics(spark, folder, "year int, rmse double, mae double, r2 double, n long")
+    return back.withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "r2": F.round("r2", 8)})
+
+
+@register(
+    "model_card",
+    f"""WITH s AS (SELECT {_SCORES} FROM lineitem)
+    SELECT 'Modèle actif : LinearRegression' AS headline,
+      format('R² = {{:.3f}} | RMSE = {{:.3f}} | MAE = {{:.3f}}', r2, rmse, mae) AS metrics,
+      format('Entraîné sur {{:,}} projets | testé sur {{:,}} projets', CAST(n - ceil(n * 0.2) AS BIGINT),
+        CAST(ceil(n * 0.2) AS BIGINT)) AS sizes, 2 AS n_features FROM s""",
+)
+def _(spark, sf):
+    measured = aggregate.regression_metrics(_by_quantity(spark, sf), "l_extendedprice", "prediction").first()
+    marked = splits.random_split(declarations(spark, sf, *LINE_KEY), LINE_KEY)
+    sizes = marked.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
+    meta = models.ModelMeta(
+        "LinearRegression", measured["rmse"], measured["mae"], measured["r2"], sizes["train"], sizes["test"],
+        ["quantity", "year"], [], ["quantity", "year"],
+    )
+    return models.model_card(meta.table(spark)).select("headline", "metrics", "sizes", "n_features")
+
+
 @register(
     "best_scored_year",
     f"""SELECT CAST(year(l_shipdate) AS VARCHAR) AS model,

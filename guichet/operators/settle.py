@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from guichet.functions.text import quoted
-from guichet.session import ensure_checkpoint_dir
+from guichet.session import ensure_checkpoint_dir, shared_folder
 
 # A side table is broadcast only if it was counted and stays below both bounds.
 BROADCAST_ROWS = 200_000
@@ -32,11 +31,9 @@ def settle(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame) -> DataFrame:
     """The same for tables as long as the data: Parquet, so later steps read only the
     columns they use."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def is_small(df: DataFrame) -> bool:
