@@ -16,7 +16,7 @@ from guichet.functions.numbers import finite
 from guichet.functions.text import map_columns, quoted
 from guichet.operators.profile import column_values, median, most_frequent
 from guichet.operators.ranks import number_rows
-from guichet.operators.settle import attach, is_small, settle, stage
+from guichet.operators.settle import attach, is_small, settle, small_parts, stage
 
 # One-hot needs one output column per category.
 MAX_ONE_HOT = 2000
@@ -28,10 +28,10 @@ def impute_constant(df: DataFrame, names: Sequence[str], value: str = V.MISSING_
 
 def impute_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Fill the nulls of each column with its own fitted value."""
-    for name, value in values.items():
-        if value is not None:
-            df = map_columns(df, [name], lambda c, v=value: F.coalesce(c, F.lit(v)))
-    return df
+    known = {c: v for c, v in values.items() if v is not None}
+    return df.select(
+        *[F.coalesce(quoted(c), F.lit(known[c])).alias(c) if c in known else quoted(c) for c in df.columns]
+    )
 
 
 def fit_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
@@ -126,18 +126,23 @@ def ordinal_encode(
 
 def _look_up(df, names, fitted, result, default, by: Sequence[str] = ()) -> DataFrame:
     shown = list(df.columns)
-    small = is_small(fitted)
+    small = small_parts(fitted, "column")
     for name in names:
         side = fitted.where(F.col("column") == name).select(
             F.col("value").alias("_value"), *by, F.col(result).alias("_found")
         )
-        joined = attach(df.withColumn("_value", quoted(name).cast("string")), side, ["_value", *by], small)
+        # A column without fitted values has nothing to look up, which is small too.
+        fits = name in small or side.isEmpty()
+        joined = attach(df.withColumn("_value", quoted(name).cast("string")), side, ["_value", *by], fits)
         df = joined.select(
             *[
                 F.coalesce("_found", default).alias(c) if c == name else quoted(c)
                 for c in shown
             ]
         )
+        if not fits:
+            # The join has several branches; the next one must not multiply them.
+            df = stage(df)
     return df
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from guichet import vocabulary as V
 from guichet.functions.text import quoted, short_value, text_columns
 from guichet.operators.quantiles import median
+from guichet.operators.settle import stage
 
 __all__ = ["column_values", "profile_columns", "dropdown_domains", "median", "most_frequent"]
 
@@ -56,7 +57,8 @@ def profile_columns(
         "position int, column string, type string",
     )
     ordered = df.select(order.alias("_order"), *[quoted(c) for c in texts])
-    values = column_values(ordered, texts, first=F.min("_order"))
+    # Read three times below, so the table is scanned once and its values are kept.
+    values = stage(column_values(ordered, texts, first=F.min("_order")))
     sizes = values.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.avg(F.length("value")).alias("mean_length")
     )

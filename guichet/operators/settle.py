@@ -36,11 +36,21 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _size(df: DataFrame):
+    row = F.to_json(F.struct(*[quoted(c) for c in df.columns]))
+    bytes_ = F.coalesce(F.sum(F.length(row)), F.lit(0))
+    return (F.count(F.lit(1)) <= BROADCAST_ROWS) & (bytes_ <= BROADCAST_BYTES)
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a settled table may be broadcast."""
-    bytes_ = F.sum(F.length(F.to_json(F.struct(*[quoted(c) for c in df.columns]))))
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(bytes_, F.lit(0)).alias("bytes")).first()
-    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+    return df.agg(_size(df).alias("small")).first()["small"]
+
+
+def small_parts(df: DataFrame, by: str) -> set[str]:
+    """The values of ``by``, a column with few values, whose rows may be broadcast."""
+    parts = df.groupBy(quoted(by)).agg(_size(df).alias("small"))
+    return {row[by] for row in parts.where("small").collect()}
 
 
 def is_short(df: DataFrame) -> bool:
