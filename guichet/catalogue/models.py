@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from guichet.catalogue import D, register
@@ -65,11 +66,14 @@ def _(spark, sf):
 
 def _fit_and_measure(spark, sf, make):
     df = _log_lines(spark, sf, "quantity", "year", "agency", "sector")
-    marked = splits.random_split(df, LINE_KEY)
+    # Fitting passes over the rows several times.
+    marked = splits.random_split(df, LINE_KEY).persist(StorageLevel.MEMORY_AND_DISK)
     fit = models.hourly_features(["agency", "sector"], ["quantity", "year"])
     features, model = models.fit_model(marked.where(~F.col("is_test")), fit, make, "log_committed")
     scored = models.predict(marked.where("is_test"), features, model, ["log_committed"])
-    return aggregate.regression_metrics(scored, "log_committed", "prediction")
+    measured = models.known(aggregate.regression_metrics(scored, "log_committed", "prediction"))
+    marked.unpersist()
+    return measured
 
 
 @register("tree_fit")
