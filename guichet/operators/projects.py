@@ -58,14 +58,15 @@ def project_rollup(
     """One row per project: repeated lines removed, amounts added, earliest line kept.
 
     Two shuffles, both of rows already reduced per task. Lines without a key become
-    one row whose sums are null.
+    one row whose sums are null. Without a date column the first line is kept.
     """
     sums = [amount] if sums is None else list(sums)
     subset = [c for c in (date, amount, key) if c in df.columns]
     lines = dedup_exact(df, subset, order)
 
     rest = [c for c in df.columns if c != key and c not in sums]
-    earliest = F.struct(quoted(date).isNull(), quoted(date), *order)
+    dated = [quoted(date).isNull(), quoted(date)] if date in df.columns else []
+    earliest = F.struct(*dated, *order)
     rolled = lines.groupBy(quoted(key).alias("_key")).agg(
         F.min_by(F.struct(*[quoted(c) for c in rest]), earliest).alias("_line"),
         *[exact_sum(quoted(c), scale).alias(c) for c in sums],

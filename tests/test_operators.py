@@ -309,6 +309,14 @@ def test_rollup_equals_its_steps_on_any_partitioning(lines):
         assert sorted(rows(got), key=repr) == want
 
 
+def test_rollup_without_a_date(lines):
+    out = projects.project_rollup(lines.drop("day"), "key", "day", "amount", [F.col("row_ord")])
+    assert {r["key"]: (r["note"], r["amount"]) for r in out.collect()} == {
+        "p1": ("late", 35.0), "p2": ("only", 7.0), "p3": ("no amount", 0.0), "p4": ("same day 1", 3.0),
+        None: ("no key, late", None),
+    }
+
+
 def test_rollup_preserves_the_total(lines):
     out = projects.project_rollup(lines, "key", "day", "amount", [F.col("row_ord")])
     steps = projects.dedup_exact(lines, ["day", "amount", "key"], [F.col("row_ord")])
