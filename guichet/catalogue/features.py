@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from guichet.catalogue import D, register
 from guichet.operators import aggregate, encode, splits
 from guichet.plans.star import LINE_KEY, declarations, line_order
-from guichet.sources.files import scan_table
 
 _ID = "project, line, part, supplier"
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]

@@ -24,6 +24,8 @@ LAZY = [
     "top_countries_by_amount", "amount_by_region", "amount_by_month", "indicators", "chart_table",
     "chart_top_ten_countries", "lines_without_repeats", "earliest_line_per_project", "project_rollup",
     "french_decimals", "normalized_texts", "model_dataset", "most_frequent_values", "dropdown_domains",
+    "random_split", "splits_put_together", "stratified_split", "decile_split", "ordinal_codes",
+    "target_encoding_out_of_fold", "feature_table", "project_sums_on_every_line", "explore_dataset",
 ]
 
 
