@@ -1,7 +1,10 @@
 """Sources, sinks, the cleaned datasets and the snapshot refresh."""
 
+import csv
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,26 @@ def test_scan_delimited(spark, raw_path):
     assert [r[V.PROJECT_KEY] for r in rows] == ["S1", "S1", "S1", "S2", None, None, "S3"]
 
 
+def test_cells_are_read_like_pandas(spark, tmp_path):
+    pool = [
+        "plain", 'a "b" c', "x;y", "line\nbreak", "line\r\nbreak", " lead", "trail ", "NA", "nan", "", '"', '""', "é",
+        "l’eau", "\ttab", "None", "-1", "1,5", "\\", 'end\\"', "#N/A", "null", "  ", "'single'", "a\\nb",
+    ]
+    rng = random.Random(7)
+    table = [[str(i)] + [rng.choice(pool) for _ in range(4)] for i in range(400)]
+    path = tmp_path / "cells.csv"
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        writer = csv.writer(out, delimiter=";", lineterminator="\n")
+        writer.writerow(["i", "a", "b", "a", "c d"])
+        writer.writerows(table)
+    want = pd.read_csv(path, sep=";", dtype=str, encoding="utf-8-sig")
+    got = delimited.scan_delimited(spark, str(path)).orderBy("row_ord").drop("row_ord")
+    assert got.columns == list(want.columns)
+    assert [tuple(r) for r in got.collect()] == [
+        tuple(None if pd.isna(v) else v for v in row) for row in want.itertuples(index=False)
+    ]
+
+
 def test_row_order_over_files(spark, tmp_path):
     for name, first, n in (("a", 0, 5), ("b", 100, 5000), ("c", 10_000, 3)):
         body = "\n".join(str(first + i) for i in range(n))

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def test_french_decimals(spark):
     assert apply(spark, raw, "string", numbers.parse_fr_decimal) == want
 
 
+def test_numbers_are_read_like_pandas(spark):
+    raw = [
+        "1e5", "1E+5", ".5", "5.", "+3", "--1", "1_000", "0x10", "1d", "1f", "1D", "inf", "-Infinity", "nan", "NaN",
+        " 12 ", "1e", "e5", "1.2.3", "True", "", "-", "+", ".", "-0", "007", "1e-3", "12abc", "1 2", "infx",
+    ]
+    want = [None if math.isnan(v) else v for v in pd.to_numeric(pd.Series(raw), errors="coerce")]
+    assert apply(spark, raw, "string", numbers.to_number) == want
+    # Known difference: pandas has no value for numbers beyond the range of a double.
+    assert apply(spark, ["1e400"], "string", numbers.to_number) == [math.inf]
+
+
 def test_parse_amounts_by_unit(spark):
     df = spark.createDataFrame([("1,5", "2,5", "3,5")], ["A (K EUR)", "B (M USD)", "C"])
     assert numbers.parse_amounts(df).first().asDict() == {"A (K EUR)": 1.5, "B (M USD)": 2.5, "C": "3,5"}
@@ -90,6 +103,14 @@ def test_financing_class(spark):
     assert got == ["Don", "Prêt", "Autre", "Autre"]
 
 
+def test_texts_are_normalised_like_python(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    raw = ["".join(["a", s, s, "b", s]) for s in spaces] + [s + "x" for s in spaces] + ["a\u200bb", "\ufeffa", " nan", "nan\n"]
+    want = [re.sub(r"\s+", " ", v.replace("\u2019", "'").strip()) for v in raw]
+    want = [None if v == "nan" else v for v in want]
+    assert apply(spark, raw, "string", text.normalize_text) == want
+
+
 def test_short_value(spark):
     raw = ["abc", "x" * 40, "x" * 41, "l'eau", "l'\"eau\"", "a\\b\nc"]
     got = apply(spark, raw, "string", text.short_value)
