@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guichet.llm import minhash_join, mixing, quality_forest, token_counts, url_rules, warc
+from guichet.llm import (
+    graph_search,
+    minhash_join,
+    mixing,
+    pii,
+    quality_forest,
+    segment_sampling,
+    suffix_dedup,
+    token_counts,
+    url_rules,
+    warc,
+)
 from guichet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 URL_RULES = [
@@ -35,6 +47,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register("op1_sample_segmentations")
+def sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sample its rank, number of pieces, a digest of them, and the scores."""
+    sampled = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return sampled.select(
+        "doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("digest"), "log_prob", "log_inclusion", "round_trip"
+    )
+
+
 @register("op2_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).report()
@@ -74,6 +95,11 @@ def judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@register("op5_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register("op6_quality_forest")
 def judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -81,6 +107,11 @@ def judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, forest)
 
 
+@register("op7_graph_search")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 _DIGEST = " || ".join(
     f"substr('{warc.BASE32}', ((('0x' || substr(sha1, {g * 5 + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)"
     for g in range(8)
@@ -129,3 +160,11 @@ FROM documents JOIN c ON documents.doc_id = c.doc_id LEFT JOIN n ON documents.do
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_surrogates")
+def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the text with surrogates, and the mentions of each type."""
+    replaced = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), counts="mentions")
+    numbers = [F.col("mentions")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.TYPES)]
+    return replaced.select("doc_id", "text", F.aggregate("mentions", F.lit(0), lambda a, x: a + x).alias("n_mentions"), *numbers)

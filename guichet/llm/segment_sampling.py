@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from guichet.llm.common import internal, on_workers
 from guichet.llm.text_bytes import BASE, BASE_INVERSE, _power, mix, uniform
 
-SAMPLES = 4
+SAMPLES = 2
 # A piece of rank r has probability proportional to r ** -EXPONENT, and a byte of a character
 # without a piece is this much less likely than the rarest piece.
 EXPONENT = 1.0
@@ -22,6 +22,8 @@ BYTE_PENALTY = 10.0
 SEED = 11
 # Characters of documents that are taken together; a longer document is taken alone.
 CHUNK = 1 << 20
+# Steps of a path, and random numbers, that are made ready at a time.
+AHEAD = 64
 
 SPACE = "▁"
 
@@ -133,6 +135,11 @@ class Lattice:
     edge_id: np.ndarray  # a piece, or -1 - code point
     entry: np.ndarray  # the first node of each segment
 
+    def __post_init__(self):
+        counts = np.diff(self.first)
+        self.edge_low = np.repeat(self.first[:-1], counts)
+        self.edge_high = np.repeat(self.first[1:], counts)
+
 
 def build_lattice(vocabulary: Vocabulary, points: np.ndarray, starts: np.ndarray) -> Lattice:
     """``starts`` are where segments begin in ``points``, with the end of the last."""
@@ -220,9 +227,9 @@ def _walk(lattice: Lattice, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     """
     counts = np.zeros(len(nodes), np.int64)
     steps, ways = [], np.arange(len(nodes))
-    step = np.uint64(0)
+    number = 0
     while len(ways):
-        u = uniform(keys[ways] + step * np.uint64(0xBF58476D1CE4E5B9))
+        u = uniform(keys[ways] + np.uint64(number * 0xBF58476D1CE4E5B9 % (1 << 64)))
         edge, last = lattice.first[nodes], lattice.first[nodes + 1] - 1
         more = np.flatnonzero((u > lattice.edge_upto[edge]) & (edge < last))
         while len(more):
@@ -233,7 +240,7 @@ def _walk(lattice: Lattice, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.nda
         nodes = lattice.edge_target[edge]
         going = nodes >= 0
         ways, nodes = ways[going], nodes[going]
-        step += np.uint64(1)
+        number += 1
     first = np.cumsum(counts) - counts
     flat = np.empty(int(counts.sum()), np.int64)
     for number, (own, edge) in enumerate(steps):
@@ -249,9 +256,10 @@ class _Search:
     None), or "agrees with p before step t and takes none of the edges ``taken`` there".
     """
 
-    random: Iterator[float]
+    random: Callable[[], float]
     agenda: list = field(default_factory=list)
     paths: list = field(default_factory=list)  # edges, and which segment each edge is of
+    logs: list = field(default_factory=list)  # of the first edges, as far as they were needed
     totals: list = field(default_factory=list)
     values: list = field(default_factory=list)
     count: int = 0
@@ -260,10 +268,10 @@ class _Search:
         """A set of log mass ``mass``: its highest value, given that it is under ``below``."""
         if mass == -math.inf:
             return
-        noise = math.log(-math.log(next(self.random))) - mass
-        value = -(max(-below, noise) + math.log1p(math.exp(-abs(-below - noise))))
+        noise = math.log(-math.log(self.random())) - mass
+        rank = max(-below, noise) + math.log1p(math.exp(-abs(below + noise)))
         self.count += 1
-        heapq.heappush(self.agenda, (-value, self.count, path, step, reached, taken))
+        heapq.heappush(self.agenda, (rank, self.count, path, step, reached, taken))
 
     def next_divergence(self, lattice: Lattice) -> tuple[int, int, int, float] | None:
         """Take the best set apart down to an edge: (path, step, edge, log share up to it)."""
@@ -271,24 +279,26 @@ class _Search:
             return None
         value, _, path, step, reached, taken = heapq.heappop(self.agenda)
         value = -value
-        edges = self.paths[path][0]
+        edges, logs, total = self.paths[path][0], self.logs[path], self.totals[path]
         while taken is None:
-            own = float(lattice.edge_log[edges[step]])
-            share = math.exp(own)
-            aside = reached + math.log1p(-share) if share < 1 and self._siblings(lattice, edges[step]) else -math.inf
-            deeper = _minus(reached + own, self.totals[path]) if step + 1 < len(edges) else -math.inf
+            while step >= len(logs):
+                logs += lattice.edge_log[edges[len(logs) : len(logs) + AHEAD]].tolist()
+            own = logs[step]
+            # A node with one edge has a share of 1 up to rounding.
+            aside = reached + math.log(-math.expm1(own)) if own < -1e-13 else -math.inf
+            deeper = _minus(reached + own, total) if step + 1 < len(edges) else -math.inf
             if aside == -math.inf and deeper == -math.inf:
                 return self.next_divergence(lattice)
-            if aside != -math.inf and (deeper == -math.inf or next(self.random) < 1 / (1 + math.exp(min(deeper - aside, 700.0)))):
+            if aside != -math.inf and (deeper == -math.inf or self.random() < 1 / (1 + math.exp(min(deeper - aside, 700.0)))):
                 self.push(deeper, value, path, step + 1, reached + own, None)
                 taken = (int(edges[step]),)
             else:
                 self.push(aside, value, path, step, reached, (int(edges[step]),))
                 reached, step = reached + own, step + 1
-        node_first, node_last = self._node(lattice, taken[0])
+        node_first, node_last = int(lattice.edge_low[taken[0]]), int(lattice.edge_high[taken[0]])
         free = [e for e in range(node_first, node_last) if e not in taken]
         shares = np.exp(lattice.edge_log[free])
-        at = int(np.searchsorted(np.cumsum(shares), next(self.random) * shares.sum()))
+        at = int(np.searchsorted(np.cumsum(shares), self.random() * shares.sum()))
         edge = free[min(at, len(free) - 1)]
         rest = float(shares.sum() - math.exp(lattice.edge_log[edge]))
         if len(free) > 1 and rest > 0:
@@ -296,27 +306,22 @@ class _Search:
         self.values.append(value)
         return path, step, edge, reached + float(lattice.edge_log[edge])
 
-    @staticmethod
-    def _node(lattice: Lattice, edge: int) -> tuple[int, int]:
-        node = int(np.searchsorted(lattice.first, edge, "right")) - 1
-        return int(lattice.first[node]), int(lattice.first[node + 1])
-
-    def _siblings(self, lattice: Lattice, edge: int) -> bool:
-        low, high = self._node(lattice, edge)
-        return high - low > 1
-
 
 def _minus(a: float, b: float) -> float:
     """log(exp(a) - exp(b)) for a >= b; nothing is left if they are equal up to rounding."""
     return -math.inf if b >= a - 1e-12 else a + math.log1p(-math.exp(b - a))
 
 
-def _stream(key: int) -> Iterator[float]:
-    at = 0
-    while True:
-        for u in uniform(np.uint64(key) + (np.arange(at, at + 64, dtype=np.uint64) + np.uint64(1)) * BASE):
-            yield float(u)
-        at += 64
+def _stream(key: int) -> Callable[[], float]:
+    """Numbers in (0, 1), the same for the same key."""
+
+    def blocks() -> Iterator[float]:
+        at = 0
+        while True:
+            yield from uniform(np.uint64(key) + (np.arange(at, at + AHEAD, dtype=np.uint64) + np.uint64(1)) * BASE).tolist()
+            at += AHEAD
+
+    return blocks().__next__
 
 
 def _segments(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,7 +373,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     within = (segments - first[text_of]).astype(np.uint64)
 
     def way_keys(own_segments: np.ndarray, number: int) -> np.ndarray:
-        base = keys[text_of[own_segments]] + np.uint64(number + 1) * np.uint64(0xA0761D6478BD642F)
+        base = keys[text_of[own_segments]] + np.uint64((number + 1) * 0xA0761D6478BD642F % (1 << 64))
         return mix(base ^ (within[own_segments] + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
 
     busy = [i for i in range(len(texts)) if first[i + 1] > first[i]]
@@ -381,8 +386,9 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         low, high = flat_first[first[i]], flat_first[first[i + 1]]
         search = searches[i]
         search.paths.append((flat[low:high], segment_of[low:high]))
+        search.logs.append([])
         search.totals.append(float(lattice.edge_log[flat[low:high]].sum()))
-        top = -math.log(-math.log(next(search.random)))
+        top = -math.log(-math.log(search.random()))
         search.values.append(top)
         search.push(_minus(0.0, search.totals[0]), top, 0, 0, 0.0, None)
 
@@ -414,6 +420,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
             low, high = edges_first[ways_first[turn]], edges_first[ways_first[turn + 1]]
             old_edges, old_segments = search.paths[path]
             new = np.concatenate([old_edges[:step], [edge], edges[low:high]])
+            search.logs.append([])
             search.paths.append((new, np.concatenate([old_segments[: step + 1], own_segment[low:high]])))
             search.totals.append(reached + float(lattice.edge_log[edges[low:high]].sum()))
             if step + 1 < len(new):
@@ -434,10 +441,13 @@ def _ids(vocabulary: Vocabulary, edge_ids: np.ndarray) -> np.ndarray:
     bare = edge_ids < 0
     if not bare.any():
         return edge_ids.astype(np.int32)
+    points = -1 - edge_ids
+    ascii_ = bare & (points < 128)
+    edge_ids = np.where(ascii_, vocabulary.bytes[np.where(ascii_, points, 0)], edge_ids)
     parts, at = [], 0
-    for place in np.flatnonzero(bare):
+    for place in np.flatnonzero(bare & ~ascii_):
         parts.append(edge_ids[at:place])
-        parts.append(vocabulary.bytes[list(chr(-1 - int(edge_ids[place])).encode())])
+        parts.append(vocabulary.bytes[list(chr(int(points[place])).encode())])
         at = place + 1
     return np.concatenate([*parts, edge_ids[at:]]).astype(np.int32)
 
