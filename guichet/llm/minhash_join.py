@@ -24,9 +24,11 @@ PERCENT = 75
 CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 GUARANTEED = 2 * CHUNKS - 1
-# Pairs that share a key are compared on full sets up to this distance; a pair at the
-# similarity threshold is beyond it once in about ten million.
-MOST_ERRORS = 28
+# Pairs that share a key are judged by all symbols, FINE further ones of 8 bits included. Up to
+# this distance they are compared on full sets; a pair at the similarity threshold is beyond
+# it about three times in a million.
+FINE = 112
+MOST_ERRORS = 65
 
 # Members of a key are compared in blocks of this size, and a centre's partners are split
 # after so many.
@@ -47,18 +49,22 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    numbers = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return numbers[:SYMBOLS, None] | np.uint64(1), numbers[SYMBOLS:, None]
+    n = SYMBOLS + FINE
+    numbers = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return numbers[:n, None] | np.uint64(1), numbers[n:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The 16-bit symbols of the smallest shingle under each of SYMBOLS orders."""
+    """Symbols of the smallest shingle under each of SYMBOLS + FINE orders, in 16 bits each;
+    the fine ones use 8 of them."""
     a, b = _coefficients()
-    lowest = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[None, at : at + 4096]
+    lowest = np.full(SYMBOLS + FINE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        part = shingles[None, at : at + 1024]
         lowest = np.minimum(lowest, (part * a + b).min(axis=1))
-    return (mix(lowest) >> np.uint64(48)).astype(np.uint16)
+    symbols = (mix(lowest) >> np.uint64(48)).astype(np.uint16)
+    symbols[SYMBOLS:] &= 255
+    return symbols
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -89,7 +95,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS + FINE)
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -97,13 +103,37 @@ def _keyed(classes: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(_as_signatures(batch.column(1)))
+            keys = keys_of(_as_signatures(batch.column(1))[:, :SYMBOLS])
             nodes = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
 
     return classes.select("node", "signature").mapInArrow(spread, "key long, node long")
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold; sizes too different cannot."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[place] == small).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets of texts, next to all columns behind text and name."""
+    for batch in batches:
+        names = batch.column(1).to_pylist()
+        kept, shingles = [], []
+        for i, own in enumerate(shingle_sets(batch.column(0))):
+            # An id may have rows of other texts.
+            if xxhash.xxh3_128_digest(own.tobytes()) == names[i]:
+                kept.append(i)
+                shingles.append(own.tobytes())
+        rest = batch.select(batch.schema.names[2:]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(shingles, pa.binary())], [*rest.schema.names, "shingles"])
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose full sets are similar enough.
 
@@ -120,18 +150,6 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     roles = settle(roles.join(classes.select("node", "id", "set_key"), "node").drop("node"))
     texts = join_side(docs, roles, ["id"], "inner").select("text", "set_key", "v", "share", "partner")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(1).to_pylist()
-            kept, shingles = [], []
-            for i, own in enumerate(shingle_sets(batch.column(0))):
-                # An id may have rows of other texts.
-                if xxhash.xxh3_128_digest(own.tobytes()) == names[i]:
-                    kept.append(i)
-                    shingles.append(own.tobytes())
-            rest = batch.select(["v", "share", "partner"]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(shingles, pa.binary())], ["v", "share", "partner", "shingles"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, at = np.zeros(0, np.uint64), None
         for batch in batches:
@@ -141,27 +159,76 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
                 if partner is None:
                     base, at = own, (v, share)
                 elif at == (v, share):
-                    place = np.minimum(np.searchsorted(base, own), len(base) - 1)
-                    common = int((base[place] == own).sum())
-                    if 100 * common >= PERCENT * (len(base) + len(own) - common):
+                    if _similar(own, base):
                         us.append(partner)
                         vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        texts.mapInArrow(sets, "v long, share int, partner long, shingles binary")
+        texts.mapInArrow(_sets, "v long, share int, partner long, shingles binary")
         .repartition(parts, "v", "share")
         .sortWithinPartitions("v", "share", F.col("partner").asc_nulls_first())
         .mapInArrow(compare, "u long, v long")
     )
 
 
-def _crossing(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _confirmed_in_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same for pairs of which many share a text.
+
+    The pairs that lead to a component are cut into blocks of ``u`` and ``v``, and a block gets
+    each of its sets once, however many pairs it is in.
+    """
+    placed = stage(
+        pairs.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    )
+    parts = placed.groupBy("root").agg(
+        F.ceil(F.approx_count_distinct("u") / PARTNERS).cast("int").alias("us"),
+        F.ceil(F.approx_count_distinct("v") / PARTNERS).cast("int").alias("vs"),
+    )
+    block = [F.pmod(F.xxhash64(c), F.greatest(F.col(f"{c}s"), F.lit(1))).cast("int").alias(f"{c}_block") for c in "uv"]
+    placed = stage(placed.join(settle(parts), "root").select("u", "v", "root", *block))
+    at = ["root", "u_block", "v_block"]
+    none = F.lit(None).cast("array<long>").alias("partners")
+    roles = placed.groupBy(*at, F.col("u").alias("node")).agg(F.collect_list("v").alias("partners")).unionByName(
+        placed.select(*at, F.col("v").alias("node"), none).distinct()
+    )
+    roles = settle(roles.join(classes.select("node", "id", "set_key"), "node"))
+    texts = join_side(docs, roles, ["id"], "inner").select("text", "set_key", *at, "node", "partners")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets = None, {}
+        for batch in batches:
+            us, vs = [], []
+            for root, i, j, node, partners, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, i, j) != here:
+                    here, sets = (root, i, j), {}
+                own = np.frombuffer(data, np.uint64)
+                if partners is None:
+                    sets[node] = own
+                    continue
+                for v in partners:
+                    if _similar(own, sets[v]):
+                        us.append(node)
+                        vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        texts.mapInArrow(_sets, "root long, u_block int, v_block int, node long, partners array<long>, shingles binary")
+        .repartition(count, *at)
+        .sortWithinPartitions(*at, F.col("partners").isNotNull())
+        .mapInArrow(compare, "u long, v long")
+        .distinct()
+    )
+
+
+def _crossing(members: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``u, v, errors`` under a common key that are in different components so far.
 
-    Within a key only members outside its largest component are held against the others.
-    Both sides go in blocks, and a task gives out only pairs within MOST_ERRORS.
+    Within a key only members outside its largest component (``u``) are held against the others.
+    Both sides go in blocks, and a task gives out only pairs within MOST_ERRORS, or for each
+    ``u`` the nearest of them.
     """
     placed = stage(
         members.select("key", "node")
@@ -195,27 +262,39 @@ def _crossing(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataF
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, None
+        at, left, arrays, best = None, [], None, {}
         found: list[tuple[int, int, int]] = []
-        left: list[tuple] = []
+
+        def closed() -> list[tuple[int, int, int]]:
+            own = [(u, v, e) for u, (e, v) in best.items()]
+            best.clear()
+            return own
+
         for batch in batches:
             for key, i, j, side, node, root, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != at:
-                    at, left = (key, i, j), []
-                    first = None
+                    found += closed()
+                    at, left, arrays = (key, i, j), [], None
                 if side == 0:
-                    left.append((side, node, root, data))
-                    first = None
-                elif left:
-                    if first is None:
-                        nodes = np.array([x[1] for x in left])
-                        roots_ = np.array([x[2] for x in left])
-                        first = np.frombuffer(b"".join(x[3] for x in left), np.uint16).reshape(-1, SYMBOLS)
-                    errors = (first != np.frombuffer(data, np.uint16)).sum(axis=1)
-                    for y in np.flatnonzero((errors <= MOST_ERRORS) & (roots_ != root)):
-                        found.append((max(node, int(nodes[y])), min(node, int(nodes[y])), int(errors[y])))
+                    left.append((node, root, data))
+                    continue
+                if not left:
+                    continue
+                if arrays is None:
+                    arrays = (
+                        [x[0] for x in left], np.array([x[1] for x in left]),
+                        np.frombuffer(b"".join(x[2] for x in left), np.uint16).reshape(len(left), -1),
+                    )
+                errors = (arrays[2] != np.frombuffer(data, np.uint16)).sum(axis=1)
+                for y in np.flatnonzero((errors <= MOST_ERRORS) & (arrays[1] != root)):
+                    u, e = arrays[0][y], int(errors[y])
+                    if not nearest:
+                        found.append((u, node, e))
+                    elif u not in best or (e, node) < best[u]:
+                        best[u] = (e, node)
             yield _pairs_batch(found)
             found = []
+        yield _pairs_batch(closed())
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
@@ -239,10 +318,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Rows with equal shingle sets form a class, and one signature stands for it. Classes that
-    share a signature key are candidates. First each class is held against one low-numbered
-    class of its keys, which unites most groups; after that only members of a key that are
-    still in different components are compared, nearest first. So a group of n copies costs
-    about n comparisons, and yet no pair under a common key stays unlinked if its full sets
+    share a signature key are candidates. First each class is held against one central class
+    of its keys, which unites most groups; after that only members of a key that are still in
+    different components are compared, nearest first. So a group of n copies costs about n
+    comparisons, and yet no pair under a common key stays unlinked if its full sets
     reach the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
 
     ``component_id`` is the lowest id reachable, ``kept`` whether a row has it. A null, empty or
@@ -262,12 +341,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     keyed = _keyed(classes)
-    shared = stage(
-        keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
-    )
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = stage(join_side(keyed, shared, ["key"], "inner"))
+    # The member that meets others most often is the centre of its keys: the text that copies
+    # were made from is nearer to each of them than they are to each other.
+    meetings = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("meetings"))
+    centres = members.join(meetings, "node").groupBy("key").agg(F.max_by("node", "meetings").alias("centre"))
     nearest = (
-        members.where("node <> centre")
+        members.join(centres, "key")
+        .where("node <> centre")
         .groupBy("node", "centre")
         .agg(F.count(F.lit(1)).alias("common"))
         .groupBy("node")
@@ -275,22 +357,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     links = stage(_confirmed(docs, classes, settle(nearest.select(F.col("node").alias("u"), F.col("centre").alias("v")))))
     roots = settle(components(links))
-
-    crossing = stage(_crossing(members, classes, roots))
-    if not crossing.isEmpty():
-        best = settle(crossing.groupBy("u").agg(F.min_by("v", "errors").alias("v")))
-        links = stage(links.unionByName(_confirmed(docs, classes, best)))
+    # Then the nearest of another component, then all that are left.
+    for one_each in (True, False):
+        crossing = _crossing(members, classes, roots, one_each)
+        if one_each:
+            crossing = crossing.groupBy("u").agg(F.min_by("v", "errors").alias("v"))
+        crossing = settle(crossing.select("u", "v"))
+        if crossing.isEmpty():
+            break
+        confirmed = _confirmed(docs, classes, crossing) if one_each else _confirmed_in_blocks(docs, classes, crossing, roots)
+        links = stage(links.unionByName(confirmed))
         roots = settle(components(links))
-        apart = settle(
-            crossing.join(best, ["u", "v"], "left_anti")
-            .join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
-            .join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-            .where("coalesce(ru, u) <> coalesce(rv, v)")
-            .select("u", "v")
-        )
-        if not apart.isEmpty():
-            links = stage(links.unionByName(_confirmed(docs, classes, apart)))
-            roots = settle(components(links))
 
     named = classes.select("node", "id", "set_key", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component"))
