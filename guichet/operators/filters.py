@@ -49,6 +49,9 @@ def filter_eq(df: DataFrame, name: str, value) -> DataFrame:
 def filter_cmp(df: DataFrame, name: str, op: str, value) -> DataFrame:
     if op not in _COMPARE:
         raise ValueError(f"unknown comparison {op!r}, expected one of {list(_COMPARE)}")
+    if op == "!=":
+        # A null differs from every value.
+        return df.where(~quoted(name).eqNullSafe(F.lit(value)))
     return df.where(_COMPARE[op](quoted(name), F.lit(value)))
 
 

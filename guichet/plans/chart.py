@@ -67,7 +67,11 @@ def _check(df: DataFrame, spec: ChartSpec) -> None:
 
 def _filtered(df: DataFrame, spec: ChartSpec) -> DataFrame:
     for name, op, value in spec.filters:
-        df = filter_in(df, name, value) if op == "in" else filter_cmp(df, name, op, value)
+        if op != "in":
+            df = filter_cmp(df, name, op, value)
+        else:
+            # An empty list selects nothing.
+            df = filter_in(df, name, value) if value else df.where(F.lit(False))
     return df
 
 

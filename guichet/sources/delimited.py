@@ -88,7 +88,7 @@ def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str
 
 
 def scan_latest(
-    spark: SparkSession, folder: str, pattern: str = "*.csv", **options
+    spark: SparkSession, folder: str, pattern: str = "apd_*.csv", **options
 ) -> DataFrame:
     """The newest snapshot: names carry the hour, so the last name is the newest."""
     return scan_delimited(spark, latest_file(spark, folder, pattern), **options)

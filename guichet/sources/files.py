@@ -24,7 +24,11 @@ def _plain(path: str) -> str:
 
 def _check_output(df: DataFrame, path: str) -> None:
     """Overwriting a folder that is being read would destroy the input."""
-    out = _plain(path)
+    spark = df.sparkSession
+    wanted = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = wanted.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Relative paths and paths without a scheme are made full, as those of inputs are.
+    out = _plain(system.makeQualified(wanted).toString())
     for used in df.inputFiles():
         used = _plain(used)
         if used == out or used.startswith(out + "/"):

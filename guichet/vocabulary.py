@@ -190,8 +190,8 @@ PROMOTION_MARGIN = 0.995
 
 # Date formats of the two cleaning scripts, and read markers of
 # missing text (the defaults of pandas.read_csv).
-DAY_FIRST_FORMATS = ["dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"]
-DEFAULT_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy"]
+DAY_FIRST_FORMATS = ["d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+DEFAULT_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy", "M-d-yyyy"]
 MISSING_TOKENS = [
     "",
     "#N/A",

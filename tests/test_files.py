@@ -2,6 +2,7 @@
 
 import csv
 import datetime as dt
+import os
 import random
 
 import pandas as pd
@@ -208,3 +209,14 @@ def test_refresh_on_snapshot(spark, tmp_path):
     (folder / "s_2024-05-01_11.csv").write_text("x;y\n3;a\n")
     refresh()
     assert seen == ["2", "3"]
+
+
+@pytest.mark.parametrize("form", ["relative", "plain", "qualified"])
+def test_overwriting_an_input_is_refused_in_any_form(spark, tmp_path, monkeypatch, form):
+    folder = tmp_path / "input"
+    spark.range(5).write.parquet(str(folder))
+    monkeypatch.chdir(tmp_path)
+    path = {"relative": os.path.relpath(folder, spark._jvm.System.getProperty("user.dir")), "plain": str(folder), "qualified": f"file://{folder}"}[form]
+    with pytest.raises(ValueError):
+        files.write_parquet(spark.read.parquet(str(folder)), path)
+    assert spark.read.parquet(str(folder)).count() == 5
