@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ GUARANTEED = 2 * CHUNKS - 1
 FINE = 112
 MOST_ERRORS = 65
 
+# A sketch holds the upper halves of so many lowest hashes of a set, of most sets all.
+SKETCH = 1024
+
 # Members of a key are compared in blocks of this size, and a centre's partners are split
 # after so many.
 BLOCK = 512
@@ -223,12 +227,11 @@ def _confirmed_in_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame,
     )
 
 
-def _crossing(members: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``u, v, errors`` under a common key that are in different components so far.
+def _meetings(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks ``key, i, j`` of rows that share a key and are not all in one component so far.
 
-    Within a key only members outside its largest component (``u``) are held against the others.
-    Both sides go in blocks, and a task gives out only pairs within MOST_ERRORS, or for each
-    ``u`` the nearest of them.
+    Within a key only members outside its largest component (side 0, ``few``) are held against
+    all members (side 1). Both sides go in blocks of BLOCK rows.
     """
     placed = stage(
         members.select("key", "node")
@@ -249,69 +252,158 @@ def _crossing(members: DataFrame, classes: DataFrame, roots: DataFrame, nearest:
             F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
         )
     )
-    rows = join_side(placed, open_keys, ["key"], "inner")
+    rows = join_side(placed, open_keys, ["key"], "inner").withColumn("few", F.col("root") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = rows.where("root <> main").withColumn("i", own("few_blocks")).withColumn("j", every("all_blocks"))
+    few = rows.where("few").withColumn("i", own("few_blocks")).withColumn("j", every("all_blocks"))
     all_ = rows.withColumn("j", own("all_blocks")).withColumn("i", every("few_blocks"))
-    sides = (
-        few.withColumn("side", F.lit(0))
-        .unionByName(all_.withColumn("side", F.lit(1)))
-        .select("key", "i", "j", "side", "node", "root")
-        .join(classes.select("node", "signature"), "node")
+    sides = few.withColumn("side", F.lit(0)).unionByName(all_.withColumn("side", F.lit(1)))
+    return sides.select("key", "i", "j", "side", "node", "root", "few").join(classes.select("node", "signature"), "node")
+
+
+def _by_block(sides: DataFrame) -> DataFrame:
+    parts = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["key", "i", "j", "side"]
+    first = [*at, "node", "root", "few", "signature"]
+    return (
+        sides.select(*first, *[c for c in sides.columns if c not in first])
+        .repartition(parts, *at[:3])
+        .sortWithinPartitions(*at, "node")
     )
 
+
+def _first_common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of the first key that each signature of ``left`` shares with ``right``."""
+    wrong = (left[:, :SYMBOLS] != right[:SYMBOLS]).reshape(-1, CHUNKS, CHUNK)
+    chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
+    # Without an error any symbol may be left out, and argmax names the first.
+    return chunk * CHUNK + wrong[np.arange(len(wrong)), chunk].argmax(axis=1)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple], tuple, list[tuple[int, int]]]]:
+    """Per row of side 1 its block, the rows of side 0 there, itself, and what it meets:
+    (index into side 0, errors).
+
+    A pair under several common keys is met under the first of them only.
+    """
+    here, left, arrays = None, [], None
+    for batch in batches:
+        for key, i, j, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, i, j) != here:
+                here, left, arrays = (key, i, j), [], None
+            if side == 0:
+                left.append(row)
+                continue
+            if not left:
+                continue
+            if arrays is None:
+                arrays = np.array([x[1] for x in left]), _as_signatures(pa.array([x[3] for x in left], pa.binary()))
+            own = np.frombuffer(row[3], np.uint16)
+            errors = (arrays[1] != own).sum(axis=1)
+            near = np.flatnonzero((errors <= MOST_ERRORS) & (arrays[0] != row[1]))
+            near = near[_first_common(arrays[1][near], own) == key >> 48]
+            yield here, left, row, [(int(y), int(errors[y])) for y in near]
+
+
+def _in_batches(rows: Iterator[tuple], columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(list(columns.items()))
+    while part := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), columns.values())], schema=schema)
+
+
+def _nearest_crossing(meetings: DataFrame) -> DataFrame:
+    """``u, v``: per member outside the largest component of its keys the nearest of another."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left, arrays, best = None, [], None, {}
-        found: list[tuple[int, int, int]] = []
+        def rows() -> Iterator[tuple[int, int, int]]:
+            at, best = None, {}
+            for here, left, row, met in _met(batches):
+                if here != at:
+                    yield from ((u, v, e) for u, (e, v) in best.items())
+                    at, best = here, {}
+                for y, errors in met:
+                    u = left[y][0]
+                    best[u] = min(best.get(u, (errors, row[0])), (errors, row[0]))
+            yield from ((u, v, e) for u, (e, v) in best.items())
 
-        def closed() -> list[tuple[int, int, int]]:
-            own = [(u, v, e) for u, (e, v) in best.items()]
-            best.clear()
-            return own
+        yield from _in_batches(rows(), {"u": pa.int64(), "v": pa.int64(), "errors": pa.int32()})
+
+    found = _by_block(meetings).mapInArrow(compare, "u long, v long, errors int")
+    return found.groupBy("u").agg(F.min_by("v", F.struct("errors", "v")).alias("v"))
 
-        for batch in batches:
-            for key, i, j, side, node, root, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, i, j) != at:
-                    found += closed()
-                    at, left, arrays = (key, i, j), [], None
-                if side == 0:
-                    left.append((node, root, data))
-                    continue
-                if not left:
-                    continue
-                if arrays is None:
-                    arrays = (
-                        [x[0] for x in left], np.array([x[1] for x in left]),
-                        np.frombuffer(b"".join(x[2] for x in left), np.uint16).reshape(len(left), -1),
-                    )
-                errors = (arrays[2] != np.frombuffer(data, np.uint16)).sum(axis=1)
-                for y in np.flatnonzero((errors <= MOST_ERRORS) & (arrays[1] != root)):
-                    u, e = arrays[0][y], int(errors[y])
-                    if not nearest:
-                        found.append((u, node, e))
-                    elif u not in best or (e, node) < best[u]:
-                        best[u] = (e, node)
-            yield _pairs_batch(found)
-            found = []
-        yield _pairs_batch(closed())
-
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        sides.select("key", "i", "j", "side", "node", "root", "signature")
-        .repartition(parts, "key", "i", "j")
-        .sortWithinPartitions("key", "i", "j", "side")
-        .mapInArrow(compare, "u long, v long, errors int")
-        .groupBy("u", "v")
-        .agg(F.min("errors").alias("errors"))
-    )
 
+def _all_crossing(docs: DataFrame, classes: DataFrame, meetings: DataFrame) -> DataFrame:
+    """``u, v``: all pairs in different components whose sketches allow the threshold.
 
-def _pairs_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())],
-        ["u", "v", "errors"],
+    Near the threshold the signatures of a group let many pairs through that are no links. So
+    the first step gives out rows and not pairs: those that meet any other in their block.
+    They come back with their sketches and are judged in the same blocks.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            at, marked = None, set()
+            for here, left, row, met in _met(batches):
+                if here != at:
+                    at, marked = here, set()
+                met = [y for y, _ in met if _once(left[y], row)]
+                yield from ((*here, 0, *left[y][:3]) for y in met if y not in marked)
+                marked.update(met)
+                if met:
+                    yield (*here, 1, *row[:3])
+
+        long, whole = pa.int64(), pa.int32()
+        yield from _in_batches(rows(), {"key": long, "i": whole, "j": whole, "side": whole, "node": long, "root": long, "few": pa.bool_()})
+
+    marked = stage(
+        _by_block(meetings).mapInArrow(mark, "key long, i int, j int, side int, node long, root long, few boolean")
     )
+    nodes = settle(marked.select("node").distinct().join(classes.select("node", "id", "set_key", "signature"), "node"))
+    texts = join_side(docs, nodes, ["id"], "inner").select("text", "set_key", "node", "signature")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            sketches = [(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())],
+                ["node", "signature", "n", "sketch"],
+            )
+
+    sketches = stage(texts.mapInArrow(sketch, "node long, signature binary, n long, sketch binary").dropDuplicates(["node"]))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, int]]:
+            for _, left, row, met in _met(batches):
+                for y, _ in met:
+                    if _once(left[y], row) and _may_link(left[y][4:], row[4:]):
+                        yield left[y][0], row[0]
+
+        yield from _in_batches(rows(), {"u": pa.int64(), "v": pa.int64()})
+
+    return _by_block(marked.join(sketches, "node")).mapInArrow(judge, "u long, v long")
+
+
+def _once(u: list, v: list) -> bool:
+    """Two rows that are both outside the largest component meet twice."""
+    return not v[2] or u[0] > v[0]
+
+
+def _may_link(a: list, b: list) -> bool:
+    """Whether sets of which ``n, sketch`` is known can reach the threshold.
+
+    Whole sets are judged as they are. Of longer ones the lowest hashes of the union are a
+    sample; a pair at the threshold falls five deviations short once in three millions.
+    """
+    if 100 * min(a[0], b[0]) < PERCENT * max(a[0], b[0]):
+        return False
+    own, other = np.frombuffer(a[1], np.uint32), np.frombuffer(b[1], np.uint32)
+    if max(a[0], b[0]) <= SKETCH:
+        return _similar(own, other)
+    union = np.union1d(own, other)[:SKETCH]
+    common = int((np.isin(union, own) & np.isin(union, other)).sum())
+    share = PERCENT / 100
+    return common >= share * len(union) - 5 * (len(union) * share * (1 - share)) ** 0.5
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,10 +451,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = settle(components(links))
     # Then the nearest of another component, then all that are left.
     for one_each in (True, False):
-        crossing = _crossing(members, classes, roots, one_each)
-        if one_each:
-            crossing = crossing.groupBy("u").agg(F.min_by("v", "errors").alias("v"))
-        crossing = settle(crossing.select("u", "v"))
+        meetings = _meetings(members, classes, roots)
+        crossing = settle(_nearest_crossing(meetings) if one_each else _all_crossing(docs, classes, meetings))
         if crossing.isEmpty():
             break
         confirmed = _confirmed(docs, classes, crossing) if one_each else _confirmed_in_blocks(docs, classes, crossing, roots)
