@@ -100,8 +100,14 @@ def profile_columns(
 def dropdown_domains(
     df: DataFrame, names: Sequence[str], limit: int = V.DROPDOWN_LIMIT
 ) -> DataFrame:
-    """(column, values): the first ``limit`` distinct values of each column in order."""
-    return _first_values(column_values(df, names), [F.col("value")], limit, "values")
+    """(column, values): the first ``limit`` distinct values of each column in order.
+
+    A column without values has an empty list.
+    """
+    found = _first_values(column_values(df, names), [F.col("value")], limit, "values")
+    # One row per name, so the side that is given is as short as the list of columns.
+    every = df.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(names)], "column string")
+    return every.join(found, "column", "left").withColumn("values", F.coalesce("values", F.array().cast(found.schema["values"].dataType)))
 
 
 def most_frequent(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -446,3 +446,9 @@ def test_domains_and_modes(spark):
     got = {r["column"]: r["values"] for r in profile.dropdown_domains(df, ["a", "b"]).collect()}
     assert got == {"a": [f"v{i:03d}" for i in range(200)], "b": ["x", "y"]}
     assert dict(rows(profile.most_frequent(df, ["a", "b"]))) == {"a": "v000", "b": "x"}
+
+
+def test_domain_of_a_column_without_values(spark):
+    df = spark.createDataFrame([("x", None), ("y", None)], "a string, b string")
+    got = {r["column"]: r["values"] for r in profile.dropdown_domains(df, ["a", "b"]).collect()}
+    assert got == {"a": ["x", "y"], "b": []}
