@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -12,6 +15,8 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 # A word, the same in Java, RE2 and Python: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +33,38 @@ def on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
 
 
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``step`` for ``mapInArrow``; free memory goes back to the machine when a task ends.
+
+    Python workers serve later stages too, and what a finished task has freed would stay with
+    them on top of what the next one takes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started in this block send Python workers at most BATCH_ROWS rows at a time.
+
+    Rows that carry texts or whole sets then take some MB a batch on either side.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def internal(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names, so other columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 from guichet.operators.settle import is_small, join_side, settle, stage
 
 # Rows of a shard: what one task holds and builds a graph of.
@@ -302,7 +302,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEAR
     return (
         rows.repartition(count, "dim", "shard")
         .sortWithinPartitions("dim", "shard", "side")
-        .mapInArrow(search, "query_id long, id long, score double")
+        .mapInArrow(tidy(search), "query_id long, id long, score double")
     )
 
 

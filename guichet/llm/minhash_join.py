@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, small_batches, tidy
 from guichet.llm.components import components
 from guichet.llm.text_bytes import LOWER, groups, mix, windows, words
 from guichet.operators.settle import is_small, join_side, settle, stage
@@ -95,7 +95,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 ["id", "n_shingles", "set_key", "signature"],
             )
 
-    return docs.mapInArrow(sign, "id long, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(tidy(sign), "id long, n_shingles long, set_key binary, signature binary")
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
@@ -111,7 +111,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
             nodes = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
 
-    return classes.select("node", "signature").mapInArrow(spread, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(tidy(spread), "key long, node long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,10 +170,10 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        texts.mapInArrow(_sets, "v long, share int, partner long, shingles binary")
+        texts.mapInArrow(tidy(_sets), "v long, share int, partner long, shingles binary")
         .repartition(parts, "v", "share")
         .sortWithinPartitions("v", "share", F.col("partner").asc_nulls_first())
-        .mapInArrow(compare, "u long, v long")
+        .mapInArrow(tidy(compare), "u long, v long")
     )
 
 
@@ -219,10 +219,10 @@ def _confirmed_in_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame,
 
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        texts.mapInArrow(_sets, "root long, u_block int, v_block int, node long, partners array<long>, shingles binary")
+        texts.mapInArrow(tidy(_sets), "root long, u_block int, v_block int, node long, partners array<long>, shingles binary")
         .repartition(count, *at)
         .sortWithinPartitions(*at, F.col("partners").isNotNull())
-        .mapInArrow(compare, "u long, v long")
+        .mapInArrow(tidy(compare), "u long, v long")
         .distinct()
     )
 
@@ -328,7 +328,7 @@ def _nearest_crossing(meetings: DataFrame) -> DataFrame:
 
         yield from _in_batches(rows(), {"u": pa.int64(), "v": pa.int64(), "errors": pa.int32()})
 
-    found = _by_block(meetings).mapInArrow(compare, "u long, v long, errors int")
+    found = _by_block(meetings).mapInArrow(tidy(compare), "u long, v long, errors int")
     return found.groupBy("u").agg(F.min_by("v", F.struct("errors", "v")).alias("v"))
 
 
@@ -356,7 +356,7 @@ def _all_crossing(docs: DataFrame, classes: DataFrame, meetings: DataFrame) -> D
         yield from _in_batches(rows(), {"key": long, "i": whole, "j": whole, "side": whole, "node": long, "root": long, "few": pa.bool_()})
 
     marked = stage(
-        _by_block(meetings).mapInArrow(mark, "key long, i int, j int, side int, node long, root long, few boolean")
+        _by_block(meetings).mapInArrow(tidy(mark), "key long, i int, j int, side int, node long, root long, few boolean")
     )
     nodes = settle(marked.select("node").distinct().join(classes.select("node", "id", "set_key", "signature"), "node"))
     texts = join_side(docs, nodes, ["id"], "inner").select("text", "set_key", "node", "signature")
@@ -370,7 +370,7 @@ def _all_crossing(docs: DataFrame, classes: DataFrame, meetings: DataFrame) -> D
                 ["node", "signature", "n", "sketch"],
             )
 
-    sketches = stage(texts.mapInArrow(sketch, "node long, signature binary, n long, sketch binary").dropDuplicates(["node"]))
+    sketches = stage(texts.mapInArrow(tidy(sketch), "node long, signature binary, n long, sketch binary").dropDuplicates(["node"]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int]]:
@@ -381,7 +381,7 @@ def _all_crossing(docs: DataFrame, classes: DataFrame, meetings: DataFrame) -> D
 
         yield from _in_batches(rows(), {"u": pa.int64(), "v": pa.int64()})
 
-    return _by_block(marked.join(sketches, "node")).mapInArrow(judge, "u long, v long")
+    return _by_block(marked.join(sketches, "node")).mapInArrow(tidy(judge), "u long, v long")
 
 
 def _once(u: list, v: list) -> bool:
@@ -406,24 +406,9 @@ def _may_link(a: list, b: list) -> bool:
     return common >= share * len(union) - 5 * (len(union) * share * (1 - share)) ** 0.5
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
-
-    Rows with equal shingle sets form a class, and one signature stands for it. Classes that
-    share a signature key are candidates. First each class is held against one central class
-    of its keys, which unites most groups; after that only members of a key that are still in
-    different components are compared, nearest first. So a group of n copies costs about n
-    comparisons, and yet no pair under a common key stays unlinked if its full sets
-    reach the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
-
-    ``component_id`` is the lowest id reachable, ``kept`` whether a row has it. A null, empty or
-    blank text has no shingles and is linked with nothing. A row without an id cannot be named,
-    so it is linked with nothing, has a null ``component_id`` and is kept. Repeated rows are in
-    one component; each gives a row. Rows of one id with different texts are linked like rows
-    of different ids. Other columns are ignored whatever their names.
-    """
-    on_workers(docs.sparkSession)
-    docs = internal(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, n_shingles, set_key`` of every row, and ``set_key, component`` of the sets that are
+    in a component of several rows or under a lower id."""
     signed = stage(_signed(docs))
     classes = stage(
         signed.where("n_shingles > 0 AND id IS NOT NULL")
@@ -465,7 +450,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_set = settle(
         named.join(lowest, "root").where("copies > 1 OR component < id").select("set_key", "component")
     )
-    result = join_side(signed.select("id", "n_shingles", "set_key"), by_set, ["set_key"], "left")
+    return signed.select("id", "n_shingles", "set_key"), by_set
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+
+    Rows with equal shingle sets form a class, and one signature stands for it. Classes that
+    share a signature key are candidates. First each class is held against one central class
+    of its keys, which unites most groups; after that only members of a key that are still in
+    different components are compared, nearest first. So a group of n copies costs about n
+    comparisons, and yet no pair under a common key stays unlinked if its full sets
+    reach the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
+
+    ``component_id`` is the lowest id reachable, ``kept`` whether a row has it. A null, empty or
+    blank text has no shingles and is linked with nothing. A row without an id cannot be named,
+    so it is linked with nothing, has a null ``component_id`` and is kept. Repeated rows are in
+    one component; each gives a row. Rows of one id with different texts are linked like rows
+    of different ids. Other columns are ignored whatever their names.
+    """
+    on_workers(docs.sparkSession)
+    docs = internal(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    with small_batches(docs.sparkSession):
+        signed, by_set = _grouped(docs)
+    result = join_side(signed, by_set, ["set_key"], "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return result.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),

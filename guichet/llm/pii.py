@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 from guichet.operators.settle import is_small, join_side, settle, stage
 
 KEY = b"guichet surrogate key"
@@ -249,7 +249,7 @@ def _entities(docs: DataFrame) -> DataFrame:
                 [pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.string())], ["type", "entity"]
             )
 
-    return docs.select("text").mapInArrow(find, "type string, entity string").distinct()
+    return docs.select("text").mapInArrow(tidy(find), "type string, entity string").distinct()
 
 
 def colliding(entities: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -272,7 +272,7 @@ def colliding(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     names = entities.select("type", F.col("entity").alias("surrogate"))
     while True:
         now = join_side(entities, tried, ["type", "entity"], "left").select("type", "entity", F.coalesce("attempt", F.lit(0)).alias("attempt"))
-        assigned = stage(now.mapInArrow(assign, "type string, entity string, attempt int, surrogate string"))
+        assigned = stage(now.mapInArrow(tidy(assign), "type string, entity string, attempt int, surrogate string"))
         shared = (
             assigned.groupBy("type", "surrogate")
             .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "entity")).alias("first"))
@@ -353,7 +353,7 @@ def replace(
                 columns.append(pa.array(numbers, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(tidy(apply), schema)
 
 
 def _with_exceptions(docs: DataFrame, text_col: str, exceptions: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _with_exceptions(docs: DataFrame, text_col: str, exceptions: DataFrame) -> D
     name = F.xxhash64(F.col(f"`{text_col}`"))
     per_text = (
         docs.select(name.alias("name"), F.col(f"`{text_col}`").alias("text"))
-        .mapInArrow(find, "name long, type string, entity string")
+        .mapInArrow(tidy(find), "name long, type string, entity string")
         .distinct()
         .join(exceptions, ["type", "entity"])
         .groupBy("name")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 from guichet.llm.text_bytes import BASE, BASE_INVERSE, _power, mix, uniform
 
 SAMPLES = 2
@@ -520,7 +520,7 @@ def sample_segmentations(
     rows = internal(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64(F.lit(seed), F.col("id")))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        sample, f"id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean"
+        tidy(sample), f"id {kind}, sample int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean"
     ).withColumnRenamed("id", id_col)
 
 
@@ -539,4 +539,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     fields = encoded.schema.fields[:]
-    return encoded.mapInArrow(apply, type(encoded.schema)(fields).add(out, "string"))
+    return encoded.mapInArrow(tidy(apply), type(encoded.schema)(fields).add(out, "string"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 from guichet.llm.text_bytes import groups, windows, words
 from guichet.operators.ranks import number_rows
 from guichet.operators.settle import join_side, settle, stage
@@ -67,7 +67,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
                     cores, docs_, places, size = [], [], [], 0
             yield _batch(cores, docs_, places)
 
-    return docs.mapInArrow(find, "core long, doc long, place int")
+    return docs.mapInArrow(tidy(find), "core long, doc long, place int")
 
 
 def _batch(cores: list, docs: list, places: list) -> pa.RecordBatch:
@@ -138,7 +138,7 @@ def _with_context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(5)], names)
 
-    return texts.mapInArrow(look, "core long, doc long, place int, left array<long>, right array<long>")
+    return texts.mapInArrow(tidy(look), "core long, doc long, place int, left array<long>, right array<long>")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 
 # The pattern that byte-level vocabularies split text with before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -158,7 +158,7 @@ def count_tokens(
         "n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(count), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from guichet.llm.common import internal, on_workers
+from guichet.llm.common import internal, on_workers, tidy
 from guichet.operators.settle import join_side, settle, stage
 from guichet.session import shared_folder
 
@@ -245,7 +245,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """
     on_workers(spark)
     pieces = _pieces(spark, folder)
-    found = stage(pieces.mapInArrow(_candidates, CANDIDATE))
+    found = stage(pieces.mapInArrow(tidy(_candidates), CANDIDATE))
     upto = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = settle(
         found.groupBy("file", "split")
@@ -285,7 +285,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         marked.join(broken.select("file", F.col("offset").alias("owner")), ["file", "owner"], "left_semi")
         .select("file", "split", "place", "offset", "owner")
     )
-    joined = join_side(pieces.mapInArrow(_with_place, "file string, split long, place long, content binary"), parts, ["file", "split", "place"], "inner")
+    joined = join_side(pieces.mapInArrow(tidy(_with_place), "file string, split long, place long, content binary"), parts, ["file", "split", "place"], "inner")
     return whole.unionByName(joined.groupBy("file", "owner").applyInPandas(_assemble, RECORD))
 
 
