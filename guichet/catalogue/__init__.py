@@ -28,6 +28,10 @@ D = """WITH d AS (
 ) """
 
 
+# Sums of the tables' amounts are checked on so many decimals.
+MONEY = 6
+
+
 def money(c: str, digits: int = 2) -> str:
     """The exact sum of an amount in SQL, as the Spark side rounds it."""
     return f"round(CAST(coalesce(sum(CAST({c} AS DECIMAL(28,6))), 0) AS DOUBLE), {digits})"

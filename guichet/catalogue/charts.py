@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guichet.catalogue import D, average, money, register
+from guichet.catalogue import D, MONEY, average, money, register
 from guichet.operators import aggregate as A, filters, series
 from guichet.plans.chart import ChartSpec, chart_query, to_payload
 from guichet.plans.dashboard import DashboardColumns, dashboard, dashboard_panels, filter_options
@@ -98,12 +98,12 @@ GROUP BY country ORDER BY value DESC, country LIMIT 10"""
 
 @register("top_countries_by_amount", TOP_COUNTRIES)
 def top_countries(spark, sf):
-    return _round(A.top_n_by(declarations(spark, sf, "country", "committed"), "country", "committed", 10))
+    return _round(A.top_n_by(declarations(spark, sf, "country", "committed"), "country", "committed", 10, scale=MONEY))
 
 
 @register("amount_by_region", D + f"SELECT region, {money('committed')} AS value FROM d GROUP BY region")
 def _(spark, sf):
-    return _round(A.sum_by(declarations(spark, sf, "region", "committed"), "region", "committed"))
+    return _round(A.sum_by(declarations(spark, sf, "region", "committed"), "region", "committed", scale=MONEY))
 
 
 _GAPS = """WITH g AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority,
@@ -121,14 +121,41 @@ def _(spark, sf):
         F.when(priority != "5-LOW", priority).alias("priority"),
         F.when(priority != "4-NOT SPECIFIED", F.col("o_totalprice")).alias("amount"),
     )
-    return _round(A.sum_by(gaps, "priority", "amount"))
+    return _round(A.sum_by(gaps, "priority", "amount", scale=MONEY))
+
+
+_SMALL = """WITH v AS (SELECT l_returnflag AS kind, CASE WHEN l_returnflag = 'A' THEN l_quantity * 1e-9
+  WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN CAST('inf' AS DOUBLE)
+  WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 1e23 ELSE l_quantity END AS amount FROM lineitem) """
+
+
+@register(
+    "total_of_small_values",
+    _SMALL + """SELECT kind, CASE WHEN isinf(sum(amount)) THEN 'infinite' ELSE 'finite' END AS size,
+      CASE WHEN NOT isinf(sum(amount)) THEN round(log10(sum(amount)), 9) END AS digits FROM v GROUP BY kind""",
+)
+def _(spark, sf):
+    kind, quantity, first = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_linenumber") == 1
+    amount = (
+        F.when(kind == "A", quantity * 1e-9)
+        .when((kind == "N") & first, float("inf"))
+        .when((kind == "R") & first, 1e23)
+        .otherwise(quantity)
+    )
+    lines = scan_table(spark, sf, "lineitem").select(kind.alias("kind"), amount.alias("amount"))
+    infinite = F.col("value") == float("inf")
+    return A.sum_by(lines, "kind", "amount").select(
+        "kind",
+        F.when(infinite, "infinite").otherwise("finite").alias("size"),
+        F.when(~infinite, F.round(F.log10("value"), 9)).alias("digits"),
+    )
 
 
 @register(
     "amount_by_year", D + f"SELECT year, {money('committed')} AS value FROM d GROUP BY year ORDER BY year"
 )
 def _(spark, sf):
-    return _round(A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed"))
+    return _round(A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed", scale=MONEY))
 
 
 @register(
@@ -137,7 +164,7 @@ def _(spark, sf):
     "FROM lineitem GROUP BY 1 ORDER BY 1",
 )
 def _(spark, sf):
-    return _round(A.trend_by_period(declarations(spark, sf, "signed", "committed"), "signed", "M", "committed"))
+    return _round(A.trend_by_period(declarations(spark, sf, "signed", "committed"), "signed", "M", "committed", scale=MONEY))
 
 
 @register(
@@ -146,7 +173,7 @@ def _(spark, sf):
     f"{money('l_extendedprice')} AS value FROM lineitem GROUP BY 1 ORDER BY 1",
 )
 def _(spark, sf):
-    return _round(A.trend_by_period(declarations(spark, sf, "signed", "committed"), "signed", "Q", "committed"))
+    return _round(A.trend_by_period(declarations(spark, sf, "signed", "committed"), "signed", "Q", "committed", scale=MONEY))
 
 
 @register(
@@ -154,22 +181,22 @@ def _(spark, sf):
     f"SELECT strftime(ts, '%Y-%m') AS period, {money('value')} AS value FROM events GROUP BY 1 ORDER BY 1",
 )
 def _(spark, sf):
-    return _round(A.trend_by_period(scan_table(spark, sf, "events"), "ts", "M", "value"))
+    return _round(A.trend_by_period(scan_table(spark, sf, "events"), "ts", "M", "value", scale=MONEY))
 
 
 @register("total_amount", f"SELECT {money('l_extendedprice')} AS value FROM lineitem")
 def _(spark, sf):
-    return _round(A.total(declarations(spark, sf, "committed"), "committed"))
+    return _round(A.total(declarations(spark, sf, "committed"), "committed", scale=MONEY))
 
 
 @register("mean_amount", f"SELECT {average('l_extendedprice')} AS value FROM lineitem")
 def _(spark, sf):
-    return _round(A.mean_of(declarations(spark, sf, "committed"), "committed"), 4)
+    return _round(A.mean_of(declarations(spark, sf, "committed"), "committed", scale=MONEY), 4)
 
 
 @register("mean_amount_by_sector", D + f"SELECT sector, {average('committed')} AS value FROM d GROUP BY sector")
 def _(spark, sf):
-    return _round(A.mean_by(declarations(spark, sf, "sector", "committed"), "sector", "committed"), 4)
+    return _round(A.mean_by(declarations(spark, sf, "sector", "committed"), "sector", "committed", scale=MONEY), 4)
 
 
 @register("line_count", "SELECT count(*) AS value FROM lineitem")
@@ -193,7 +220,7 @@ def _(spark, sf):
     count(DISTINCT country) AS countries, {average('committed')} AS mean_amount FROM d""",
 )
 def _(spark, sf):
-    df = A.kpis(declarations(spark, sf, "country", "committed"), "committed", "country")
+    df = A.kpis(declarations(spark, sf, "country", "committed"), "committed", "country", scale=MONEY)
     return _round(_round(df, 3, "total_millions"), 4, "mean_amount")
 
 
@@ -204,7 +231,7 @@ def _(spark, sf):
     SELECT agency, value, round(value / sum(value) OVER (), 6) AS share FROM s""",
 )
 def _(spark, sf):
-    df = A.share_by(declarations(spark, sf, "agency", "committed"), "agency", "committed", 8)
+    df = A.share_by(declarations(spark, sf, "agency", "committed"), "agency", "committed", 8, scale=MONEY)
     return _round(_round(df), 6, "share")
 
 
@@ -235,7 +262,7 @@ _LAST = "t AS (SELECT * FROM y ORDER BY year DESC LIMIT 5)"
 
 @register("last_five_years", D + f", {_YEARS}, {_LAST} SELECT year, value FROM t ORDER BY year")
 def _(spark, sf):
-    yearly = A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed")
+    yearly = A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed", scale=MONEY)
     return _round(series.last_n(yearly, "year", 5))
 
 
@@ -245,7 +272,7 @@ def _(spark, sf):
       round(coalesce((value / lag(value) OVER (ORDER BY year) - 1) * 100, 0), 6) AS change FROM y""",
 )
 def _(spark, sf):
-    yearly = _round(A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed"))
+    yearly = _round(A.trend_by(declarations(spark, sf, "year", "committed"), "year", "committed", scale=MONEY))
     return _round(series.pct_change(yearly, "year", "value"), 6, "change")
 
 
@@ -478,7 +505,7 @@ _CUT = "year BETWEEN 1996 AND 2000 AND region IN ('ASIA', 'EUROPE', 'AMERICA')"
 )
 def _(spark, sf):
     df = declarations(spark, sf, *PANEL.dimensions, "committed")
-    panels = dashboard(df, (1996, 2000), ["ASIA", "EUROPE", "AMERICA"], [], PANEL)
+    panels = dashboard(df, (1996, 2000), ["ASIA", "EUROPE", "AMERICA"], [], PANEL, scale=MONEY)
     return _round(dashboard_panels(panels), 4)
 
 

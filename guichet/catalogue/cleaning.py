@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guichet import vocabulary as V
-from guichet.catalogue import D, money, register
+from guichet.catalogue import D, MONEY, money, register
 from guichet.functions import dates, numbers, text
 from guichet.operators import columns, filters
 from guichet.plans import datasets
@@ -389,7 +389,7 @@ _ORIGIN = "upper(priority[1]) || lower(priority[2:])"
     FROM p""",
 )
 def _(spark, sf):
-    df = datasets.build_explore_dataset(raw_declarations(spark, sf), line_order())
+    df = datasets.build_explore_dataset(raw_declarations(spark, sf), line_order(), scale=MONEY)
     rounded = {V.COMMITTED: 2, V.GRANT_EQUIVALENT: 4, V.PAID: 4}
     return df.select(*[F.round(text.quoted(c), rounded[c]).alias(c) if c in rounded else text.quoted(c) for c in df.columns])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from guichet.catalogue import register
+from guichet.catalogue import MONEY, register
 from guichet.operators import projects
 from guichet.plans.star import LINE_KEY, declarations, line_order
 
@@ -45,7 +45,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = _view(spark, sf).select(*LINE_KEY, "key", "committed", "quantity")
-    out = projects.broadcast_group_sum(df, "key", ["committed", "quantity"])
+    out = projects.broadcast_group_sum(df, "key", ["committed", "quantity"], scale=MONEY)
     return out.withColumn("committed", F.round("committed", 2))
 
 
@@ -72,6 +72,6 @@ def _(spark, sf):
 def _(spark, sf):
     df = _view(spark, sf).drop("signed")
     out = projects.project_rollup(
-        df, "key", "signed_year", "quantity", line_order(), sums=["quantity", "committed"]
+        df, "key", "signed_year", "quantity", line_order(), sums=["quantity", "committed"], scale=MONEY
     )
     return out.withColumn("committed", F.round("committed", 2))

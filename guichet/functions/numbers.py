@@ -116,24 +116,24 @@ def keur_to_eur(c: Column) -> Column:
     return c * 1000
 
 
-def exact_sum(c: Column, scale: int | None = 6) -> Column:
-    """A sum that does not depend on the order of partitions; nothing sums to 0.
+def exact_sum(c: Column, scale: int | None = None) -> Column:
+    """The sum of a measure; nothing sums to 0 and NaN counts as missing.
 
-    Amounts are added as decimals with ``scale`` digits. ``scale=None`` adds
-    doubles, for measures that have no fixed number of decimals.
+    Doubles are added as they are. A caller that knows the number of decimals of an amount
+    names it in ``scale``: then amounts are added as decimals, so the sum does not depend on
+    the order of partitions. Values beyond a decimal, infinities too, are still added as doubles.
     """
+    number = finite(c)
     if scale is None:
-        return F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
-    total = F.sum(finite(c).cast(f"decimal(28,{scale})"))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+        return F.coalesce(F.sum(number), F.lit(0.0))
+    amount = number.try_cast(f"decimal(28,{scale})")
+    rest = F.sum(F.when(amount.isNull(), number))
+    return F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
 
 
-def exact_mean(c: Column, scale: int | None = 6) -> Column:
+def exact_mean(c: Column, scale: int | None = None) -> Column:
     """Mean of the non-null values, null if there are none."""
-    if scale is None:
-        return F.avg(c.cast("double"))
-    amount = finite(c).cast(f"decimal(28,{scale})")
-    return F.sum(amount).cast("double") / F.nullif(F.count(amount), F.lit(0))
+    return exact_sum(c, scale) / F.nullif(F.count(finite(c)), F.lit(0))
 
 
 def finite(c: Column) -> Column:

@@ -16,7 +16,7 @@ from guichet.functions.numbers import exact_mean, exact_sum, finite, to_millions
 from guichet.functions.text import quoted
 
 
-def measure(name: str | None, how: str = "sum", scale: int | None = 6) -> Column:
+def measure(name: str | None, how: str = "sum", scale: int | None = None) -> Column:
     """An aggregate by name: sum, mean, count or nunique."""
     if how == "count":
         return F.count(F.lit(1)) if name is None else F.count(quoted(name))
@@ -41,11 +41,11 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def sum_by(df: DataFrame, key: str, name: str, scale: int | None = 6) -> DataFrame:
+def sum_by(df: DataFrame, key: str, name: str, scale: int | None = None) -> DataFrame:
     return keyed(df, [key]).groupBy(quoted(key)).agg(measure(name, "sum", scale).alias("value"))
 
 
-def mean_by(df: DataFrame, key: str, name: str, scale: int | None = 6) -> DataFrame:
+def mean_by(df: DataFrame, key: str, name: str, scale: int | None = None) -> DataFrame:
     return keyed(df, [key]).groupBy(quoted(key)).agg(measure(name, "mean", scale).alias("value"))
 
 
@@ -53,18 +53,18 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
     return keyed(df, [key]).groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("value"))
 
 
-def top_n_by(df: DataFrame, key: str, name: str, n: int, scale: int | None = 6) -> DataFrame:
+def top_n_by(df: DataFrame, key: str, name: str, n: int, scale: int | None = None) -> DataFrame:
     """The ``n`` largest group sums; equal sums go by key."""
     sums = sum_by(df, key, name, scale)
     return sums.orderBy(F.desc("value"), quoted(key)).limit(n)
 
 
-def trend_by(df: DataFrame, key: str, name: str, scale: int | None = 6) -> DataFrame:
+def trend_by(df: DataFrame, key: str, name: str, scale: int | None = None) -> DataFrame:
     return sum_by(df, key, name, scale).orderBy(quoted(key))
 
 
 def trend_by_period(
-    df: DataFrame, date: str, period: str, name: str, scale: int | None = 6
+    df: DataFrame, date: str, period: str, name: str, scale: int | None = None
 ) -> DataFrame:
     """Sums per month or quarter that has rows, in calendar order."""
     labelled = df.select(
@@ -73,11 +73,11 @@ def trend_by_period(
     return trend_by(labelled, "period", "_amount", scale)
 
 
-def total(df: DataFrame, name: str, scale: int | None = 6) -> DataFrame:
+def total(df: DataFrame, name: str, scale: int | None = None) -> DataFrame:
     return df.agg(measure(name, "sum", scale).alias("value"))
 
 
-def mean_of(df: DataFrame, name: str, scale: int | None = 6) -> DataFrame:
+def mean_of(df: DataFrame, name: str, scale: int | None = None) -> DataFrame:
     return df.agg(measure(name, "mean", scale).alias("value"))
 
 
@@ -89,7 +89,7 @@ def count_distinct(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count_distinct(quoted(name)).alias("value"))
 
 
-def kpis(df: DataFrame, amount: str, country: str, scale: int | None = 6) -> DataFrame:
+def kpis(df: DataFrame, amount: str, country: str, scale: int | None = None) -> DataFrame:
     """Total in millions, rows, countries and mean amount, in one pass."""
     return df.agg(
         to_millions(measure(amount, "sum", scale)).alias("total_millions"),
@@ -99,7 +99,7 @@ def kpis(df: DataFrame, amount: str, country: str, scale: int | None = 6) -> Dat
     )
 
 
-def share_by(df: DataFrame, key: str, name: str, n: int, scale: int | None = 6) -> DataFrame:
+def share_by(df: DataFrame, key: str, name: str, n: int, scale: int | None = None) -> DataFrame:
     """The ``n`` largest groups with their part of what is shown."""
     shown = top_n_by(df, key, name, n, scale)
     # At most n rows reach this window.

@@ -30,7 +30,7 @@ def keep_first(df: DataFrame, key: str, date: str, order: Sequence[Column]) -> D
 
 
 def broadcast_group_sum(
-    df: DataFrame, key: str, names: Sequence[str], scale: int | None = 6
+    df: DataFrame, key: str, names: Sequence[str], scale: int | None = None
 ) -> DataFrame:
     """Each row with the sums of its group in place of ``names``; null without a key.
 
@@ -53,7 +53,7 @@ def project_rollup(
     amount: str,
     order: Sequence[Column],
     sums: Sequence[str] | None = None,
-    scale: int | None = 6,
+    scale: int | None = None,
 ) -> DataFrame:
     """One row per project: repeated lines removed, amounts added, earliest line kept.
 

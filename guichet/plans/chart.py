@@ -17,7 +17,8 @@ from guichet.functions.text import quoted
 from guichet.operators.aggregate import keyed, measure
 from guichet.operators.filters import filter_cmp, filter_in
 from guichet.operators.series import last_n, numbered, pct_change
-from guichet.operators.settle import is_short
+from guichet.operators import settle
+from guichet.operators.ranks import number_rows
 
 PAYLOAD_FIELDS = ["type", "title", "labels", "values", "x_label", "y_label", "unit", "value", "columns", "rows"]
 
@@ -48,7 +49,7 @@ class ChartSpec:
     x_label: str = ""
     y_label: str = ""
     unit: str = ""
-    scale: int | None = 6
+    scale: int | None = None
 
 
 def _check(df: DataFrame, spec: ChartSpec) -> None:
@@ -100,10 +101,12 @@ def chart_query(df: DataFrame, spec: ChartSpec) -> DataFrame:
     order = [F.col("_label")] if by_label else [F.desc_nulls_last("_value"), F.col("_label")]
     if spec.last_n:
         grouped = last_n(grouped, "_label", spec.last_n)
-    if limit:
+    if limit and limit <= settle.SERIES_ROWS:
         grouped = grouped.orderBy(*order).limit(limit)
-    # Limits and calendar labels bound the series; other line charts are counted.
-    bounded = bool(limit or spec.last_n or spec.period)
+    elif limit:
+        places, _ = number_rows(grouped, order, "_nth")
+        grouped = places.where(F.col("_nth") < limit).drop("_nth")
+    bounded = _bounded(spec)
     value = F.col("_value")
     if spec.pct_change:
         grouped = pct_change(grouped, "_label", "_value", "_change", bounded)
@@ -122,6 +125,15 @@ def _table(df: DataFrame, spec: ChartSpec) -> DataFrame:
     return out.limit(spec.limit) if spec.limit else out
 
 
+def _bounded(spec: ChartSpec) -> bool:
+    """Whether the question bounds the length of its answer; others are counted."""
+    limits = [n for n in (spec.limit, spec.last_n) if n]
+    if spec.type in ("bar", "pie"):
+        limits.append(V.CHART_LIMIT)
+    # Calendar labels are few however many rows there are.
+    return spec.period is not None or bool(limits and min(limits) <= settle.SERIES_ROWS)
+
+
 def _rounded(c: Column) -> Column:
     return F.bround(c, 2)
 
@@ -129,13 +141,15 @@ def _rounded(c: Column) -> Column:
 def to_payload(result: DataFrame, spec: ChartSpec) -> DataFrame:
     """The JSON payload of a chart, in one row.
 
-    A payload is one cell, so a table needs a limit and a line has to be short; for
-    more than that, use the result of ``chart_query`` itself.
+    A line or table that is too long for one cell comes in several: a head with the number
+    of ``items``, and a row for each item with its place ``ord``.
     """
     text = {"title": F.lit(spec.title)}
+    if spec.type != "scalar" and not _bounded(spec):
+        result = settle.stage(result)
+        if not settle.is_short(result):
+            return _long_payload(result, spec)
     if spec.type in ("bar", "line", "pie"):
-        if not (spec.limit or spec.last_n or spec.period) and not is_short(result):
-            raise ValueError("this line is too long for a payload; give it a limit")
         items = F.array_sort(F.collect_list(F.struct("ord", "label", _rounded(F.col("value")).alias("value"))))
         fields = result.agg(items.alias("items"))
         text |= {
@@ -149,25 +163,45 @@ def to_payload(result: DataFrame, spec: ChartSpec) -> DataFrame:
         fields = result
         text |= {"value": _rounded(F.col("value").cast("double")), "unit": F.lit(spec.unit)}
     else:
-        if spec.limit is None:
-            raise ValueError("a table payload needs a limit")
         fields = _table_rows(result, spec)
         text |= {"columns": F.array(*[F.lit(c) for c in result.columns]), "rows": F.col("rows")}
     payload = F.struct(F.lit(spec.type).alias("type"), *[c.alias(n) for n, c in text.items()])
     return fields.select(F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def _table_rows(result: DataFrame, spec: ChartSpec) -> DataFrame:
+def _long_payload(result: DataFrame, spec: ChartSpec) -> DataFrame:
+    def as_json(**parts: Column) -> Column:
+        row = F.struct(*[c.alias(n) for n, c in parts.items()])
+        return F.to_json(row, {"ignoreNullFields": "false"}).alias("payload")
+
+    head = {"type": F.lit(spec.type), "title": F.lit(spec.title), "items": F.count(F.lit(1))}
+    if spec.type == "table":
+        head["columns"] = F.array(*[F.lit(c) for c in result.columns])
+        rows, _ = number_rows(result, _table_order(result, spec), "_place")
+        items = rows.select(as_json(ord=F.col("_place") + 1, row=F.array(*_cells(result))))
+    else:
+        head |= {n: F.lit(getattr(spec, n)) for n in ("x_label", "y_label", "unit")}
+        items = result.select(as_json(ord=F.col("ord"), label=F.col("label"), value=_rounded(F.col("value"))))
+    return result.agg(as_json(**head)).unionByName(items)
+
+
+def _table_order(result: DataFrame, spec: ChartSpec) -> list[Column]:
     by_key = [quoted(c) for c in (spec.keys or [spec.key]) if c]
     first_measure = result.columns[len(by_key)]
-    order = by_key if spec.order == "key" else [quoted(first_measure).desc_nulls_last(), *by_key]
-    cells = [
+    return by_key if spec.order == "key" else [quoted(first_measure).desc_nulls_last(), *by_key]
+
+
+def _cells(result: DataFrame) -> list[Column]:
+    return [
         (_rounded(quoted(f.name)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else quoted(f.name))
         .cast("string")
         for f in result.schema.fields
     ]
-    # At most spec.limit rows.
-    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
-    listed = result.select(nth.alias("ord"), F.array(*cells).alias("cells"))
+
+
+def _table_rows(result: DataFrame, spec: ChartSpec) -> DataFrame:
+    # A table that was counted or has a limit.
+    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_table_order(result, spec)))
+    listed = result.select(nth.alias("ord"), F.array(*_cells(result)).alias("cells"))
     items = F.array_sort(F.collect_list(F.struct("ord", "cells")))
     return listed.agg(items.alias("items")).select(F.col("items.cells").alias("rows"))

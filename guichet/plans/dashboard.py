@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from guichet import vocabulary as V
-from guichet.functions.numbers import to_millions
+from guichet.functions.numbers import exact_sum, finite, to_millions
 from guichet.functions.text import quoted
 from guichet.operators.aggregate import distinct_values, keyed
 from guichet.operators.filters import filter_in, filter_range
@@ -40,7 +40,7 @@ def dashboard_cube(
     regions: Sequence[str] | None = None,
     sectors: Sequence[str] | None = None,
     names: DashboardColumns = DashboardColumns(),
-    scale: int = 6,
+    scale: int | None = None,
 ) -> DataFrame:
     """Sums and counts by year, country, region and sector of the filtered rows.
 
@@ -50,9 +50,11 @@ def dashboard_cube(
     df = filter_range(df, names.year, *years)
     df = filter_in(df, names.region, regions)
     df = filter_in(df, names.sector, sectors)
-    amount = quoted(names.amount).cast(f"decimal(28,{scale})")
+    amount = quoted(names.amount)
     return df.groupBy(*[quoted(c) for c in names.dimensions]).agg(
-        F.sum(amount).alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.count(amount).alias("_paid")
+        exact_sum(amount, scale).alias("_sum"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(finite(amount)).alias("_paid"),
     )
 
 
@@ -62,11 +64,11 @@ def dashboard(
     regions: Sequence[str] | None = None,
     sectors: Sequence[str] | None = None,
     names: DashboardColumns = DashboardColumns(),
-    scale: int = 6,
+    scale: int | None = None,
 ) -> dict[str, DataFrame]:
     """Five results: indicators, top 10 countries, top 8 sectors, years, regions."""
     cube = settle(dashboard_cube(df, years, regions, sectors, names, scale))
-    value = F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0))
+    value = exact_sum(F.col("_sum"), scale)
 
     def by(key: str) -> DataFrame:
         return keyed(cube, [key]).groupBy(quoted(key)).agg(value.alias("value"))
@@ -78,7 +80,7 @@ def dashboard(
         to_millions(value).alias("total_millions"),
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("projects"),
         F.count_distinct(quoted(names.country)).alias("countries"),
-        (F.sum("_sum").cast("double") / F.nullif(F.sum("_paid"), F.lit(0))).alias("mean_amount"),
+        (value / F.nullif(F.sum("_paid"), F.lit(0))).alias("mean_amount"),
     )
     return {
         "kpis": indicators,

@@ -66,9 +66,11 @@ def build_explore_dataset(
     merges: Mapping[str, Mapping[str, str]] = V.EXPLORE_LABELS,
     date_formats: Sequence[str] = tuple(V.DAY_FIRST_FORMATS),
     staged: bool = True,
+    scale: int | None = None,
 ) -> DataFrame:
     """One row per project, readable labels, amounts added up.
 
+    ``scale`` is the number of decimals of the amounts where it is known.
     ``order`` is the row order of ``raw`` (its ``row_ord`` column by default). Which
     columns are sparse is known only after a pass over the table, so the parsed rows are
     written as Parquet first and text is parsed once; ``staged=False`` parses it twice.
@@ -96,7 +98,7 @@ def build_explore_dataset(
     if V.PROJECT_KEY in df.columns:
         amounts = [c for c in df.columns if "K EUR" in c]
         df = project_rollup(
-            df, V.PROJECT_KEY, V.COMMITMENT_DATE, V.COMMITTED, order, sums=amounts
+            df, V.PROJECT_KEY, V.COMMITMENT_DATE, V.COMMITTED, order, sums=amounts, scale=scale
         )
     df = date_parts(
         df, V.COMMITMENT_DATE, day=V.COMMITMENT_DAY, year=V.COMMITMENT_YEAR, month=V.COMMITMENT_MONTH

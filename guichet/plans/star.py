@@ -46,15 +46,20 @@ def declarations(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     nation = region or uses(_FROM_NATION)
     customer = nation or uses(_FROM_CUSTOMER)
     orders = customer or uses(_FROM_ORDER)
-    df = table("lineitem")
-    if orders:
-        df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if customer:
-        df = df.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    # From the smallest table up, so that a filter on a place cuts orders before the lines join.
+    side = table("region") if region else None
+
+    def joined(name: str, key: str, foreign: str) -> DataFrame:
+        rows = table(name)
+        return rows if side is None else rows.join(side, F.col(foreign) == F.col(key))
+
     if nation:
-        df = df.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    if region:
-        df = df.join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        side = joined("nation", "r_regionkey", "n_regionkey")
+    if customer:
+        side = joined("customer", "n_nationkey", "c_nationkey")
+    if orders:
+        side = joined("orders", "c_custkey", "o_custkey")
+    df = joined("lineitem", "o_orderkey", "l_orderkey")
     if uses(_FROM_PART):
         df = df.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     columns = _FROM_LINE | _FROM_ORDER | _FROM_CUSTOMER | _FROM_NATION | _FROM_REGION | _FROM_PART

@@ -94,11 +94,16 @@ def scan_latest(
     return scan_delimited(spark, latest_file(spark, folder, pattern), **options)
 
 
-def scan_clean_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A comma file written by ``write_csv``, with the types it had."""
+def scan_clean_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = True
+) -> DataFrame:
+    """A comma file written by ``write_csv``, with the types it had.
+
+    Text without line breaks can be split into tasks with ``multiline=False``.
+    """
     return (
         spark.read.schema(schema)
-        .options(header=True, sep=",", quote='"', escape='"', multiLine=True)
+        .options(header=True, sep=",", quote='"', escape='"', multiLine=multiline)
         .csv(path)
     )
 

@@ -1,6 +1,7 @@
 """Columns, filters, aggregates, series, projects, profiles."""
 
 import datetime as dt
+import json
 import math
 import statistics
 
@@ -214,9 +215,39 @@ def test_chart_errors(sales):
         chart_query(sales, ChartSpec(type="radar", key="key", measure="amount"))
     with pytest.raises(ValueError, match="unknown measure"):
         chart_query(sales, ChartSpec(key="key", measure="amount", how="mode"))
-    with pytest.raises(ValueError, match="limit"):
-        spec = ChartSpec(type="table", key="key", measure="amount")
-        to_payload(chart_query(sales, spec), spec)
+
+
+def test_long_payloads_come_in_rows(sales, small_broadcasts):
+    line = ChartSpec(type="line", key="year", measure="amount", title="L", unit="u")
+    got = [json.loads(r[0]) for r in to_payload(chart_query(sales, line), line).collect()]
+    head = [r for r in got if "type" in r]
+    assert head == [{"type": "line", "title": "L", "items": 3, "x_label": "", "y_label": "", "unit": "u"}]
+    items = sorted((r["ord"], r["label"], r["value"]) for r in got if "type" not in r)
+    assert items == [(1, "2018", 10.0), (2, "2019", 21.0), (3, "2020", 100.0)]
+
+    table = ChartSpec(type="table", key="key", measure="amount")
+    got = [json.loads(r[0]) for r in to_payload(chart_query(sales, table), table).collect()]
+    assert [r for r in got if "type" in r] == [{"type": "table", "title": "", "items": 4, "columns": ["key", "sum_amount"]}]
+    assert sorted((r["ord"], *r["row"]) for r in got if "type" not in r)[0] == (1, "a", "15.5")
+
+
+def test_a_large_limit_is_no_bound(sales, small_broadcasts):
+    spec = ChartSpec(type="line", key="year", measure="amount", limit=2)
+    assert [r["label"] for r in chart_query(sales, spec).orderBy("ord").collect()] == ["2018", "2019"]
+
+
+@pytest.mark.parametrize("scale", [None, 6])
+def test_sums_lose_no_value(spark, scale):
+    def total(*values):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        return A.total(df, "v", scale).first()[0], A.mean_of(df, "v", scale).first()[0]
+
+    assert total(1e23, 1e23) == (2e23, 1e23)
+    assert total(1.0, float("inf")) == (float("inf"), float("inf"))
+    assert total(1.0, float("nan"), None, 2.0) == (3.0, 1.5)
+    assert total(None) == (0.0, None)
+    if scale is None:
+        assert total(*[1e-7] * 10)[0] == pytest.approx(1e-6)
 
 
 def test_bars_show_at_most_fifteen(spark):
