@@ -16,7 +16,7 @@ from guichet.session import shared_folder
 from guichet.sources.files import read_metrics, scan_table, write_metrics
 
 _ID = "project, line, part, supplier"
-# Trees per forest in the registered queries; the library's default is 100.
+# Trees per forest in the two training jobs; the library's default is 100.
 TREES = 10
 
 
@@ -83,7 +83,7 @@ def _(spark, sf):
 
 @register("forest_fit")
 def _(spark, sf):
-    return _fit_and_measure(spark, sf, lambda: models.fit_forest("log_committed", trees=TREES))
+    return _fit_and_measure(spark, sf, lambda: models.fit_forest("log_committed"))
 
 
 _ERR = "l_extendedprice - l_quantity * 2000"
