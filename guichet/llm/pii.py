@@ -39,6 +39,12 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe go ha ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va ve wa".split(),
     "cyrillic": "ба ве во га да де ко ла ле ло ма ме мо на не но па ре ро са се та те то".split(),
 }
+# Attempts with the entity's own shape; each one after these adds a character, so that the
+# surrogates are always more than the entities. A free text needs few: only a short or mostly
+# fixed one collides twice.
+OWN_SHAPE = {"secret": 2, "email": 2}
+OWN_FORMAT = 16
+ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ENDINGS = {"latin": {"m": "", "f": "", "": ""}, "cyrillic": {"m": "нов", "f": "нова", "": "ненко"}}
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
@@ -186,6 +192,11 @@ class Surrogates:
     def of(self, kind: str, entity: str, attempt: int = 0) -> str:
         """The surrogate of an entity, in the same normal form as the entity."""
         numbers = self.numbers(kind, entity, str(attempt))
+        more = max(0, attempt - OWN_SHAPE.get(kind, OWN_FORMAT))
+
+        def any_of(characters: str, n: int) -> str:
+            return "".join(characters[next(numbers) % len(characters)] for _ in range(n))
+
         if kind == "person":
             gender, given, family = entity.split("|")
             if not given:
@@ -198,22 +209,28 @@ class Surrogates:
             hosts = self.numbers("domain", domain)
             label = "".join(chr(97 + next(hosts) % 26) for _ in range(8))
             top = domain.rpartition(".")[2]
-            return f"{self._shaped(local, numbers)}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
+            return f"{self._shaped(local, numbers)}{any_of(ALPHANUMERIC[26:], more)}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
         if kind == "card":
-            body = entity[0] + self._shaped(entity[1:-1], numbers)
+            body = entity[0] + self._shaped(entity[1:-1], numbers) + any_of("0123456789", more)
             return body + next(d for d in "0123456789" if luhn(body + d))
         if kind == "iban":
-            body = self._shaped(entity[4:], numbers)
+            body = self._shaped(entity[4:], numbers) + any_of("0123456789", more)
             turned = "".join(str(int(c, 36)) for c in body + entity[:2] + "00")
             return f"{entity[:2]}{98 - int(turned) % 97:02d}{body}"
         if kind == "ip":
-            return ".".join(str(1 + next(numbers) % 223 if i == 0 else next(numbers) % 256) for i in range(4))
+            return ".".join(str(1 + next(numbers) % 223 if i == 0 else next(numbers) % 256) for i in range(4 + more))
         if kind == "phone":
             kept = len(entity) - 10 if len(entity) > 10 else 0  # the country code
-            return entity[:kept] + str(2 + next(numbers) % 8) + self._shaped(entity[kept + 1 :], numbers)
-        if kind == "secret" and entity[:4] in ("AKIA", "ASIA"):
-            return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[next(numbers) % 32] for _ in entity[4:])
-        return self._shaped(entity, numbers)
+            return entity[:kept] + str(2 + next(numbers) % 8) + self._shaped(entity[kept + 1 :], numbers) + any_of("0123456789", more)
+        if kind == "secret":
+            if entity[:4] in ("AKIA", "ASIA"):
+                new = entity[:4] + any_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", len(entity) - 4)
+            elif any(c.isdigit() or c.isalpha() for c in entity):
+                new = self._shaped(entity, numbers)
+            else:  # a masked secret, or one of signs only: its shape has no other text
+                new = any_of(ALPHANUMERIC, len(entity))
+            return new + any_of(ALPHANUMERIC, more)
+        return self._shaped(entity, numbers) + any_of("0123456789", more)
 
 
 def _script(name: str) -> str:
@@ -232,7 +249,7 @@ def rendered(kind: str, mention: str, entity: str, surrogate: str) -> str:
         return new.upper() if mention.isupper() else new
     if kind in ("card", "phone", "ssn", "iban"):
         letters = iter(surrogate)
-        return "".join(next(letters) if c.isalnum() else c for c in mention)
+        return "".join(next(letters) if c.isalnum() else c for c in mention) + "".join(letters)
     if kind == "email" and mention.isupper():
         return surrogate.upper()
     return surrogate
@@ -257,7 +274,8 @@ def colliding(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     A surrogate must differ from those of all other entities and from all entities. Among
     equal ones the lowest (attempt, entity) stays and the others try again, until none is left;
-    a surrogate that stays is never taken away by a later attempt.
+    a surrogate that stays is never taken away by a later attempt. Surrogates grow with the
+    attempt, so however many entities share a shape, there is an end.
     """
     on_workers(entities.sparkSession)
 

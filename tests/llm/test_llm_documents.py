@@ -340,6 +340,45 @@ def test_collisions_are_settled(spark):
     assert {make.of(k, e, attempts.get((k, e), 0)) for k, e in entities} == set("56789")
 
 
+def _settled(spark, entities):
+    """Attempts of the exceptions; a settlement that goes on for ever fails."""
+    rounds, settle = [], pii.settle
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) < 100
+        return settle(df)
+
+    pii.settle = counted
+    try:
+        found = pii.colliding(spark.createDataFrame(entities, "type string, entity string")).collect()
+    finally:
+        pii.settle = settle
+    return {(r["type"], r["entity"]): r["attempt"] for r in found}
+
+
+def test_secrets_without_another_of_their_shape(spark):
+    """Masked secrets keep nothing to change, and 26 of one shape leave no surrogate to it."""
+    entities = [("secret", s) for s in ("********", "......", "______", "½½½½½½")]
+    entities += [("secret", f"-----{chr(97 + i)}") for i in range(26)] + [("email", f"_@{d}.com") for d in "ab"]
+    attempts = _settled(spark, entities)
+    make = pii.Surrogates(pii.KEY)
+    new = [make.of(k, e, attempts.get((k, e), 0)) for k, e in entities]
+    assert len(set(new)) == len(new) and not set(new) & {e for _, e in entities}
+    text, found = pii._replaced("password: ******** and pwd=......", make, attempts)
+    assert [m[3] for m in found] == ["********", "......"] and "***" not in text and "..." not in text
+    assert [m[2] for m in pii.mentions(text)] == ["secret", "secret"]
+
+
+def test_surrogates_of_every_type_grow():
+    make = pii.Surrogates(b"key")
+    for kind, text in [("card", "4041-8949-7460-8795"), ("ssn", "123-45-6789"), ("phone", "+1 (456) 555-2186"), ("ip", "51.13.200.32")]:
+        ((_, _, found, entity),) = pii.mentions(text)
+        late = make.of(kind, entity, pii.OWN_FORMAT + 3)
+        assert found == kind and len(late) > len(entity)
+        assert len(pii.rendered(kind, text, entity, late)) > len(text) or kind == "ip"
+
+
 def test_exceptions_joined_when_they_are_many(spark, docs, monkeypatch):
     frame = docs.where("doc_id % 3 = 0")
     want = sorted(map(tuple, pii.replace(frame).collect()))
