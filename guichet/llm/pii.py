@@ -95,7 +95,8 @@ def mentions(text: str) -> list[Mention]:
 
     The entity is what mentions of the same thing share: an email in lower case, the digits
     of a number, a person's gender and names. Where patterns overlap the first of TYPES wins.
-    Once a title has told a person, the bare full or family name is the same person.
+    Once a title has told a person, the bare full or family name is the same person. A title
+    that tells no gender takes the one that the same name has elsewhere in the text.
     """
     found: list[Mention] = []
     taken: list[tuple[int, int]] = []
@@ -132,9 +133,20 @@ def mentions(text: str) -> list[Mention]:
                 add(m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
     if any(t in text for t in TITLES):
         people: dict[str, str] = {}
-        for m in _PERSON.finditer(text):
+        titled = list(_PERSON.finditer(text))
+        told: dict[str, set[str]] = {}
+        for m in titled:
+            if TITLES[m[1]]:
+                told.setdefault(m[2], set()).add(TITLES[m[1]])
+        # A family name alone is the person that has it with a given name, as below.
+        for name, genders in list(told.items()):
+            if " " in name and name.rpartition(" ")[2] not in told:
+                told.setdefault("|" + name.rpartition(" ")[2], set()).update(genders)
+        for m in titled:
             *given, family = m[2].split(" ")
-            entity = "|".join([TITLES[m[1]], " ".join(given), family])
+            known = told.get(m[2]) or told.get("|" + m[2]) or set()
+            gender = TITLES[m[1]] or (min(known) if len(known) == 1 else "")
+            entity = "|".join([gender, " ".join(given), family])
             add(m.start(2), m.end(2), "person", entity)
             people.setdefault(m[2], entity)
         for entity in list(people.values()):
@@ -147,8 +159,17 @@ def mentions(text: str) -> list[Mention]:
     return sorted(found)
 
 
+def _named(found: list[Mention]) -> set[tuple[str, str]]:
+    """``type, entity`` of the mentions, and of the families of the persons among them."""
+    own = {m[2:] for m in found}
+    return own | {("family", e.rpartition("|")[2]) for k, e in own if k == "person"}
+
+
 class Surrogates:
-    """Replacements that depend only on the key, the type, the entity and the attempt."""
+    """Replacements that depend only on the key, the type, the entity and the attempt.
+
+    A family is an entity of its own, so all persons of one family share its surrogate.
+    """
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
@@ -182,14 +203,29 @@ class Surrogates:
                     out.append((new if new != "ς" else "σ").upper() if c.isupper() else new)
         return "".join(out)
 
-    def _family(self, family: str, gender: str, attempt: int) -> str:
-        script = _script(family)
+    def _stem(self, family: str, attempt: int) -> str:
         numbers = self.numbers("family", family, str(attempt))
-        syllables = SYLLABLES[script]
-        stem = "".join(syllables[next(numbers) % len(syllables)] for _ in range(4 + min(attempt, 4)))
-        return (stem + ENDINGS[script][gender]).capitalize()
+        syllables = SYLLABLES[_script(family)]
+        return "".join(syllables[next(numbers) % len(syllables)] for _ in range(4 + attempt))
+
+    def _given(self, gender: str, given: str, numbers: Iterator[int], attempt: int) -> str:
+        """As many given names; from the third attempt on the last one has hyphens."""
+        names = GIVEN[_script(given)][gender]
+        own = " ".join(names[next(numbers) % len(names)] for _ in given.split(" "))
+        return "-".join([own, *[names[next(numbers) % len(names)] for _ in range(attempt - 1)]])
+
+    def forms(self, kind: str, entity: str, attempt: int) -> list[str]:
+        """What must differ from that of other entities: the surrogate, or a family with every
+        ending, or the given names of a person within the family. A family name alone has
+        only its family."""
+        if kind == "family":
+            return sorted({self._stem(entity, attempt) + end for end in ENDINGS[_script(entity)].values()})
+        if kind == "person":
+            gender, given, family = entity.split("|")
+            return [f"{self._given(gender, given, self.numbers(kind, entity, str(attempt)), attempt)}|{family}"] if given else []
+        return [self.of(kind, entity, attempt)]
 
-    def of(self, kind: str, entity: str, attempt: int = 0) -> str:
+    def of(self, kind: str, entity: str, attempt: int = 0, family_attempt: int = 0) -> str:
         """The surrogate of an entity, in the same normal form as the entity."""
         numbers = self.numbers(kind, entity, str(attempt))
         more = max(0, attempt - OWN_SHAPE.get(kind, OWN_FORMAT))
@@ -199,11 +235,11 @@ class Surrogates:
 
         if kind == "person":
             gender, given, family = entity.split("|")
-            if not given:
-                return f"{gender}||{self._family(family, gender, attempt)}"
-            names = GIVEN[_script(given)][gender]
-            own = " ".join(names[next(numbers) % len(names)] for _ in given.split(" "))
-            return f"{gender}|{own}|{self._family(family, gender, attempt)}"
+            own = self._given(gender, given, numbers, attempt) if given else ""
+            new = self._stem(family, family_attempt) + ENDINGS[_script(family)][gender]
+            return f"{gender}|{own}|{new.capitalize()}"
+        if kind == "family":
+            return self._stem(entity, attempt)
         if kind == "email":
             local, _, domain = entity.rpartition("@")
             hosts = self.numbers("domain", domain)
@@ -272,7 +308,10 @@ def _entities(docs: DataFrame) -> DataFrame:
 def colliding(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """``type, entity, attempt`` of the entities whose first surrogate cannot stand.
 
-    A surrogate must differ from those of all other entities and from all entities. Among
+    A surrogate must differ from those of all other entities and from all entities. The
+    families of persons are settled as entities of type ``family``, with every ending and in
+    lower case, and persons by their given names within the family; so two persons differ
+    as they are written, whatever their gender, and a family is written alike everywhere. Among
     equal ones the lowest (attempt, entity) stays and the others try again, until none is left;
     a surrogate that stays is never taken away by a later attempt. Surrogates grow with the
     attempt, so however many entities share a shape, there is an end.
@@ -282,12 +321,18 @@ def colliding(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
         for batch in batches:
-            new = [make.of(k, e, a) for k, e, a in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["type", "entity", "attempt", "surrogate"])
+            rows = [(k, e, a, f) for k, e, a in zip(*(c.to_pylist() for c in batch.columns)) for f in make.forms(k, e, a)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["type", "entity", "attempt", "surrogate"])
 
     entities = stage(entities.select("type", "entity"))
+    family = F.substring_index("entity", "|", -1)
+    families = entities.where("type = 'person'").select(F.lit("family").alias("type"), family.alias("entity")).distinct()
+    entities = entities.unionByName(stage(families))
     tried = settle(entities.limit(0).withColumn("attempt", F.lit(0)))
-    names = entities.select("type", F.col("entity").alias("surrogate"))
+    same_case = F.when(F.col("type") == "family", F.lower("entity")).otherwise(F.col("entity"))
+    names = entities.select("type", same_case.alias("surrogate"))
     while True:
         now = join_side(entities, tried, ["type", "entity"], "left").select("type", "entity", F.coalesce("attempt", F.lit(0)).alias("attempt"))
         assigned = stage(now.mapInArrow(tidy(assign), "type string, entity string, attempt int, surrogate string"))
@@ -316,7 +361,8 @@ def _replaced(text: str, make: Surrogates, attempts: Mapping[tuple[str, str], in
     out, at, made = [], 0, {}
     for start, end, kind, entity in found:
         if (kind, entity) not in made:
-            made[kind, entity] = make.of(kind, entity, attempts.get((kind, entity), 0))
+            family = attempts.get(("family", entity.rpartition("|")[2]), 0) if kind == "person" else 0
+            made[kind, entity] = make.of(kind, entity, attempts.get((kind, entity), 0), family)
         out += [text[at:start], rendered(kind, text[start:end], entity, made[kind, entity])]
         at = end
     return "".join([*out, text[at:]]), found
@@ -379,7 +425,7 @@ def _with_exceptions(docs: DataFrame, text_col: str, exceptions: DataFrame) -> D
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(n, k, e) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, e in {m[2:] for m in mentions(t or "")}]
+            out = [(n, k, e) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, e in _named(mentions(t or ""))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())],
                 ["name", "type", "entity"],

@@ -379,6 +379,43 @@ def test_surrogates_of_every_type_grow():
         assert len(pii.rendered(kind, text, entity, late)) > len(text) or kind == "ip"
 
 
+def test_persons_keep_their_family_and_differ(spark):
+    """Families whose first surrogates are equal, and more men of one family than given names."""
+    make = pii.Surrogates(pii.KEY)
+    stems = defaultdict(list)
+    for i in range(5000):
+        family = f"Fam{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+        stems[make.of("person", f"m||{family}").split("|")[2]].append(family)
+    families = sorted(f for own in stems.values() if len(own) > 1 for f in own)
+    assert families
+    people = [("m", f"G{chr(97 + i % 26)}{i}", families[0]) for i in range(40)]
+    people += [(g, n, f) for f in families for g, n in (("m", ""), ("f", "Ann"), ("", "Ann"), ("m", "Bob"))]
+    # A family that is named as another one's surrogate.
+    people.append(("m", "", make.of("person", f"m||{families[0]}").split("|")[2]))
+    attempts = _settled(spark, [("person", "|".join(p)) for p in people])
+    shown, written = defaultdict(set), []
+    for gender, given, family in people:
+        title = {"m": "Mr", "f": "Mrs", "": "Dr"}[gender]
+        text, found = pii._replaced(" ".join(filter(None, [title, given, family])), make, attempts)
+        assert [m[3] for m in found] == ["|".join((gender, given, family))]
+        name = text.split(" ", 1)[1]
+        shown[family].add(name.split(" ")[-1])
+        if given:
+            written.append(name)
+    assert all(len(v) == 1 for v in shown.values())
+    new = {next(iter(v)) for v in shown.values()}
+    assert len(new) == len(shown) and not new & set(shown)
+    assert len(set(written)) == len(written)
+
+
+@pytest.mark.parametrize("text", ["Dr John Smith met Mr John Smith.", "Mr John Smith, Dr Smith and Prof. John Smith"])
+def test_neutral_titles_take_the_gender_of_the_name(text):
+    assert {m[3].split("|")[0] for m in pii.mentions(text)} == {"m"}
+    assert len({m[3] for m in pii.mentions(text) if "John" in text[m[0] : m[1]]}) == 1
+    both = {m[3] for m in pii.mentions("Mr Kim Lee, Ms Kim Lee and Dr Kim Lee")}
+    assert both == {"m|Kim|Lee", "f|Kim|Lee", "|Kim|Lee"}
+
+
 def test_exceptions_joined_when_they_are_many(spark, docs, monkeypatch):
     frame = docs.where("doc_id % 3 = 0")
     want = sorted(map(tuple, pii.replace(frame).collect()))
