@@ -75,19 +75,31 @@ def _batch(cores: list, docs: list, places: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "doc", "place"])
 
 
-def _runs(rows: DataFrame) -> DataFrame:
-    """``rows(doc, start, stop)`` with overlapping or touching ones of a document joined, and
-    the ``first`` and ``last`` start among them."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, which have ``doc, start, stop``, with the number of their ``run``: overlapping
+    or touching ones of a document are one."""
     before = Window.partitionBy("doc").orderBy("start", "stop")
     far = F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1))
     opens = (far.isNull() | (F.col("start") > far)).cast("int")
     number = F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("opens", opens).withColumn("run", number).drop("opens")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """``rows(doc, start, stop)`` with those of a run joined."""
+    return _numbered(rows).groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def _near_ends(kept: DataFrame) -> DataFrame:
+    """``core, doc, place, first, last`` of the kept positions fewer than REACH words from the
+    first or the last one of their run. Every run has some, its first and last among them."""
+    run = Window.partitionBy("doc", "run")
+    rows = _numbered(kept.select("core", "doc", F.col("place").alias("start"), (F.col("place") + CORE).alias("stop")))
     return (
-        rows.withColumn("opens", opens)
-        .withColumn("run", number)
-        .groupBy("doc", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("start").alias("last"))
-        .drop("run")
+        rows.withColumn("first", F.min("start").over(run))
+        .withColumn("last", F.max("start").over(run))
+        .where((F.col("start") < F.col("first") + REACH) | (F.col("start") > F.col("last") - REACH))
+        .select("core", "doc", F.col("start").alias("place"), "first", "last")
     )
 
 
@@ -148,9 +160,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Kept positions are chosen by the words around them, so equal passages keep equal
     positions and the suffix array needs only about a sixth of them. Suffixes that share
     their first CORE words with another document are found by a hash, reduced in every task.
-    Their positions join to runs in each document. At the two ends of a run the suffixes of
+    Their positions join to runs in each document. Near the two ends of a run the suffixes of
     the same core are sorted by what goes on behind them, and by what comes before them, and
-    each is extended as far as it agrees with a neighbour. Any 50 words that another document
+    each is extended as far as it agrees with a neighbour; the run goes as far as any of them,
+    as the outermost may be shared with other documents than the next. Any 50 words that another document
     has are found, and every CORE words of a passage are in another document. Cores are named
     by 64-bit hashes.
 
@@ -164,22 +177,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         _anchored(docs).groupBy("core").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("core")
     )
     kept = stage(join_side(_anchored(docs), shared, ["core"], "left_semi").distinct())
-    cores = kept.select("doc", F.col("place").alias("start"), (F.col("place") + CORE).alias("stop"))
-    runs = stage(_runs(cores))
-
-    ends = runs.select("doc", F.col("start").alias("place")).unionByName(runs.select("doc", F.col("last").alias("place"))).distinct()
-    end_cores = settle(kept.join(ends, ["doc", "place"], "left_semi").select("core").distinct())
+    near = stage(_near_ends(kept))
+    end_cores = settle(near.select("core").distinct())
     suffixes = stage(_with_context(docs, join_side(kept, end_cores, ["core"], "left_semi")).distinct())
-    to_left = _agreement(suffixes, "left").groupBy("doc", F.col("place").alias("start")).agg(F.max("n").alias("before"))
-    to_right = _agreement(suffixes, "right").groupBy("doc", F.col("place").alias("last")).agg(F.max("n").alias("behind"))
+    to_left = _agreement(suffixes, "left").groupBy("doc", "place").agg(F.max("n").alias("before"))
+    to_right = _agreement(suffixes, "right").groupBy("doc", "place").agg(F.max("n").alias("behind"))
     spans = (
-        runs.join(to_left, ["doc", "start"], "left")
-        .join(to_right, ["doc", "last"], "left")
-        .select(
-            "doc",
-            (F.col("start") - F.coalesce("before", F.lit(0))).alias("start"),
-            (F.col("stop") + F.coalesce("behind", F.lit(0))).alias("stop"),
+        near.join(to_left, ["doc", "place"], "left")
+        .join(to_right, ["doc", "place"], "left")
+        .groupBy("doc", "first", "last")
+        .agg(
+            F.min(F.col("place") - F.coalesce("before", F.lit(0))).alias("start"),
+            F.max(F.col("place") + CORE + F.coalesce("behind", F.lit(0))).alias("stop"),
         )
+        .select("doc", "start", "stop")
         .where(F.col("stop") - F.col("start") >= MIN_WORDS)
     )
     return _runs(spans).select(

@@ -255,6 +255,32 @@ def test_repeated_passages(spark, rows):
     assert suffix_dedup.repeated_passages(docs.limit(0)).collect() == []
 
 
+def _outermost_shared_with_another():
+    """Texts a, b, c: a and c share 50 words, and a and b the 41 from a kept position of a
+    among the first of these that c does not keep."""
+    random = np.random.default_rng(7)
+    for case in range(20000):
+        own = lambda n: [f"w{x}" for x in random.integers(0, 1 << 40, n)]
+        passage = own(suffix_dedup.MIN_WORDS)
+        p = 1 + case % (suffix_dedup.REACH - 1)
+        texts = [own(20) + passage + own(20), own(20) + passage[p : p + suffix_dedup.CORE] + own(20), own(20) + passage + own(20)]
+        kept = [set((k - 20).tolist()) for k, _, _ in suffix_dedup.anchors(pa.array([" ".join(t) for t in texts]))]
+        inside = set(range(suffix_dedup.REACH))
+        if p in kept[0] and 0 in kept[1] and p not in kept[2] and min(kept[0] & kept[2] & inside) > p:
+            yield [" ".join(t) for t in texts]
+
+
+def test_passages_whose_first_position_is_shared_with_another(spark):
+    cases = [t for _, t in zip(range(5), _outermost_shared_with_another())]
+    assert len(cases) == 5
+    texts = [(10 * n + i, t) for n, case in enumerate(cases) for i, t in enumerate(case)]
+    got = defaultdict(set)
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    want = brute_repeats(texts, suffix_dedup.MIN_WORDS)
+    assert len(want) == 10 and all(own <= got[i] for i, own in want.items())
+
+
 def test_minimisers_agree_in_equal_passages():
     random = np.random.default_rng(1)
     passage = random.integers(0, 1 << 60, 60).astype(np.uint64)
