@@ -16,7 +16,7 @@ from guichet.session import shared_folder
 from guichet.sources.files import read_metrics, scan_table, write_metrics
 
 _ID = "project, line, part, supplier"
-# Trees per forest in the two training jobs; the library's default is 100.
+# Trees of the tracked forest; the library's default is 100.
 TREES = 10
 
 
@@ -216,7 +216,7 @@ def _training_lines(spark, sf):
 def _(spark, sf):
     df = _training_lines(spark, sf)
     trained = train_and_select(
-        df, "log_committed", LINE_KEY, line_order("signed", *LINE_KEY), exclude=["signed"], trees=TREES
+        df, "log_committed", LINE_KEY, line_order("signed", *LINE_KEY), exclude=["signed"]
     )
     card = models.model_card(trained.meta.table(spark))
     return card.select("headline", "metrics", "sizes", F.lit(trained.meta.cv_scores[trained.meta.model]).alias("cv_r2"))

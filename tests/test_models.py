@@ -280,3 +280,20 @@ def test_described_predictions(spark):
     assert out[0]["log_prediction"] == 1.792
     assert out[0]["fourchette_keur"]["low"] == round(math.expm1(1.792 - 1.5), 1)
     assert out[0]["fourchette_keur"]["high"] == round(math.expm1(1.792 + 1.5), 1)
+
+
+def test_compared_forests_have_all_their_trees(spark, monkeypatch):
+    from guichet.catalogue import QUERIES, models as catalogue
+    from guichet.plans import training
+
+    class Called(Exception):
+        pass
+
+    def called(label, trees=100, **_):
+        raise Called(trees)
+
+    # The number that reaches the candidates is what every fold and the final fits use.
+    monkeypatch.setattr(training, "candidates", called)
+    with pytest.raises(Called) as seen:
+        QUERIES["models_compared_and_selected"](spark, "/root/testdata/sf0.001")
+    assert catalogue.train_and_select is training.train_and_select and seen.value.args == (100,)
