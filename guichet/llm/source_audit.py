@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from guichet.llm.common import internal, on_workers, tidy
 from guichet.operators.ranks import number_rows
-from guichet.operators.settle import attach, settle, stage
+from guichet.operators.settle import attach, join_side, settle, stage
 
 MIN_DOCS = 30
 # A probability is one plus the whole part of SCALE * (count + PRIOR) / (N + PRIOR * V).
@@ -25,10 +25,11 @@ BLOCK_TERMS = 2048
 TILE = 128
 # Bytes of a text that are split at a time, and terms a task holds before it hands them on.
 PIECE_BYTES = 1 << 20
-HELD_TERMS = 200_000
+HELD_TERMS = 300_000
 
 # Letters to lower case; every other ASCII character is a separator.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+ONE_DOC, MASK = 1 << 64, (1 << 64) - 1
 _RAW_SEPARATOR = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
@@ -50,37 +51,33 @@ def term_counts(text: bytes) -> Counter:
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, source, term, n, docs`` summed up as far as memory allows; a row without a term
-    stands for every group that occurs."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    """``number, lang, term, n, docs`` of the texts of groups, summed up as far as memory allows."""
+    # Occurrences in the lower bits, documents above them.
+    held: dict[tuple[int, int], dict[bytes, int]] = {}
     size = 0
 
     def hand_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            rows = len(terms) + 1
+        for (number, lang), terms in held.items():
+            sums = terms.values()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * rows, pa.string()), pa.array([source] * rows, pa.string()),
-                    pa.array([None, *terms], pa.binary()).cast(pa.string()),
-                    pa.array([0, *[t[0] for t in terms.values()]], pa.int64()),
-                    pa.array([0, *[t[1] for t in terms.values()]], pa.int64()),
+                    pa.array(np.full(len(terms), number)), pa.array(np.full(len(terms), lang)),
+                    pa.array(list(terms), pa.binary()).cast(pa.string()),
+                    pa.array(np.fromiter((s & MASK for s in sums), np.int64, len(terms))),
+                    pa.array(np.fromiter((s >> 64 for s in sums), np.int64, len(terms))),
                 ],
-                ["lang", "source", "term", "n", "docs"],
+                ["number", "lang", "term", "n", "docs"],
             )
         held.clear()
 
     for batch in batches:
-        for lang, source, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2)):
-            group = held.setdefault((lang, source), {})
+        for number, lang, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2)):
+            group = held.setdefault((number, lang), {})
             before = len(group)
+            have = group.get
             for term, n in term_counts(text.as_buffer().to_pybytes()).items():
-                sums = group.get(term)
-                if sums is None:
-                    group[term] = [n, 1]
-                else:
-                    sums[0] += n
-                    sums[1] += 1
-            size += len(group) - before + 1
+                group[term] = have(term, 0) + n + ONE_DOC
+            size += len(group) - before
             if size > HELD_TERMS:
                 yield from hand_on()
                 size = 0
@@ -155,68 +152,65 @@ def audit_sources(
     on_workers(spark)
     empty = {c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")}
     texts = internal(docs, lang=lang_col, source=source_col, text=text_col).select(*empty.values())
+    # Groups by number in the order of language and source; a language is named by its first.
+    groups, _ = number_rows(texts.select("lang", "source").distinct(), [F.col("lang"), F.col("source")], "number")
+    groups = stage(groups)
+    firsts = settle(groups.groupBy("lang").agg(F.min("number").alias("first")))
+    groups = settle(attach(groups, firsts, ["lang"]))
     counts = stage(
-        texts.mapInArrow(tidy(_tokenize), "lang string, source string, term string, n long, docs long")
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        attach(texts, groups, ["lang", "source"]).select("number", F.col("first").alias("lang"), "text")
+        .mapInArrow(tidy(_tokenize), "number long, lang long, term string, n long, docs long")
+        .groupBy("number", "lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
 
     # Kept terms of each language, how many they are, and what each group has of them.
     kept = stage(
-        counts.where("term is not null").groupBy("lang", "term")
-        .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    )
-    langs = settle(
-        counts.groupBy("lang").agg(F.lit(0).alias("_")).drop("_")
-        .join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total")), "lang", "left")
-        .fillna(0)
-    )
-    found = stage(counts.where("term is not null").drop("docs").join(kept, ["lang", "term"]))
-    groups, _ = number_rows(
-        counts.where("term is null").select("lang", "source")
-        .join(found.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").fillna(0),
-        [F.col("lang"), F.col("source")], "number",
+        counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
+        .where(F.col("docs") >= min_docs).drop("docs")
     )
+    found = stage(join_side(counts.drop("docs"), kept, ["lang", "term"], "inner"))
+    langs = settle(kept.groupBy(F.col("lang").alias("first")).agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total")))
+    sums = settle(found.groupBy("number").agg(F.sum("n").alias("total")))
     groups = settle(
-        attach(groups, langs, ["lang"])
+        attach(attach(groups, langs, ["first"]), sums, ["number"]).fillna(0, ["terms", "lang_total", "total"])
         .withColumn("tile", F.floor(F.col("number") / TILE).cast("long"))
         .withColumn("absent", _share("0", "total", "terms"))
     )
     shares = stage(
-        attach(found, groups, ["lang", "source"])
+        attach(found.drop("lang"), groups, ["number"])
         .withColumn("p", _share("n", "total", "terms"))
         .withColumn("q", _share("lang_n", "lang_total", "terms"))
+        .select("first", "number", "tile", "terms", "term", "p", "q")
     )
 
     pairs = _pairs(shares, groups)
-    above = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    best = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(best)
+    above = shares.where("p > q").select("number", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    order = Window.partitionBy("number").orderBy(F.col("value").desc(), "item")
+    best = stage(above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).unionByName(best)
+    return attach(ranked, groups.select("number", "lang", "source"), ["number"]).select("lang", "source", "part", "item", "value", "rank")
 
 
 def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang, source, part, item, value``: the distance of every two sources of a language."""
+    """``number, part, item, value``: the distance of every two sources of a language."""
     blocks = F.greatest(F.ceil(F.col("terms") / BLOCK_TERMS), F.lit(1)).cast("int")
     entries = shares.select(
-        "lang", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"), "tile", "number", "term", "p"
+        "first", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"), "tile", "number", "term", "p"
     )
     absent = groups.select(
-        "lang", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "tile", "number",
+        "first", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "tile", "number",
         F.lit(None).cast("string").alias("term"), F.col("absent").alias("p"),
     )
     # Each tile meets every tile of its language, the lower one first.
-    tiles = settle(groups.groupBy("lang").agg(F.min("tile").alias("first"), F.max("tile").alias("last")))
-    meeting = F.explode(F.sequence("first", "last"))
+    tiles = settle(groups.groupBy("first").agg(F.min("tile").alias("low"), F.max("tile").alias("high")))
     dealt = (
-        attach(entries.unionByName(absent), tiles, ["lang"])
-        .withColumn("other", meeting)
+        attach(entries.unionByName(absent), tiles, ["first"])
+        .withColumn("other", F.explode(F.sequence("low", "high")))
         .withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
-        .select("lang", "block", "tile_a", "tile_b", "tile", "number", "term", "p")
+        .select("first", "block", "tile_a", "tile_b", "tile", "number", "term", "p")
     )
-    parts = dealt.groupBy("lang", "block", "tile_a", "tile_b").applyInPandas(_distances, "a long, b long, value long")
+    parts = dealt.groupBy("first", "block", "tile_a", "tile_b").applyInPandas(_distances, "a long, b long, value long")
     sums = stage(parts.groupBy("a", "b").agg(F.sum("value").alias("value")))
     both = sums.unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    names = settle(groups.select("number", "lang", "source"))
-    named = attach(both.withColumnRenamed("a", "number"), names, ["number"]).drop("number")
-    items = settle(names.select(F.col("number").alias("b"), F.col("source").alias("item")))
-    return attach(named, items, ["b"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    items = settle(groups.select(F.col("number").alias("b"), F.col("source").alias("item")))
+    return attach(both, items, ["b"]).select(F.col("a").alias("number"), F.lit("pair").alias("part"), "item", "value")
