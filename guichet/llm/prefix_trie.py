@@ -82,9 +82,10 @@ def rebuild(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def _paths(convs: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """One row per conversation and segment of its turns: ``conv_id, shard, segment, entry_high,
-    entry_low, last, high, low, bytes``. The entry names the prefix before the segment; the last
-    segment of a conversation is the one it ends in, which may be without turns.
+    """One row per conversation and segment of its turns: ``conv_id, shard, segment, before,
+    entry_high, entry_low, last, high, low, bytes``. There are ``before`` turns before the segment, and the
+    entry names that prefix; the last segment of a conversation is the one it ends in, which may
+    be without turns.
 
     A prefix is named by the exclusive or of hashes of its (position, turn) pairs.
     """
@@ -106,6 +107,7 @@ def _paths(convs: DataFrame, rebuilt: DataFrame) -> DataFrame:
         all_.select(
             "conv_id", F.floor(F.col("number") / SHARD).cast("long").alias("shard"),
             F.coalesce("segment", F.lit(0)).cast("long").alias("segment"),
+            (F.coalesce("segment", F.lit(0)) * SEGMENT).cast("long").alias("before"),
             *[F.coalesce(f"entry_{c}", F.lit(0)).cast("long").alias(f"entry_{c}") for c in KEY],
             (F.coalesce("segment", F.lit(0)) == F.floor((F.greatest("length", F.lit(1)) - 1) / SEGMENT)).alias("last"),
             *[F.coalesce(F.col(f"turns.{c}"), F.array().cast("array<bigint>")).alias(c) for c in (*KEY, "bytes")],
@@ -161,7 +163,7 @@ def _by_id(frame: pd.DataFrame) -> pd.DataFrame:
 def _local_nodes(frame: pd.DataFrame) -> pd.DataFrame:
     frame = _by_id(frame)
     ids, bytes_ = frame["conv_id"].tolist(), frame["bytes"].tolist()
-    shard, segment = int(frame["shard"].iloc[0]), int(frame["segment"].iloc[0])
+    shard, before = int(frame["shard"].iloc[0]), int(frame["before"].iloc[0])
     sizes = [len(b) for b in bytes_]
     ends_at: dict[int, int] = {}
     for i, (size, last) in enumerate(zip(sizes, frame["last"])):
@@ -169,13 +171,13 @@ def _local_nodes(frame: pd.DataFrame) -> pd.DataFrame:
             ends_at[size] = ends_at.get(size, 0) | 1 << i
     rows = []
     for bits, depth, high, low, parent_high, parent_low in _walk(frame):
-        if depth == 0 and segment:
+        if depth == 0 and before:
             continue  # the segment before has it
         first = (bits & -bits).bit_length() - 1
         ends = bits & ends_at.get(depth, 0)
         rows.append(
             (
-                segment * SEGMENT + depth, high, low, parent_high, parent_low, shard, ids[first], bits.bit_count(),
+                before + depth, high, low, parent_high, parent_low, shard, ids[first], bits.bit_count(),
                 int(bytes_[first][depth - 1]) if depth else 0,
                 ",".join(str(ids[i]) for i in _members(ends)) if ends else None,
             )
@@ -186,14 +188,14 @@ def _local_nodes(frame: pd.DataFrame) -> pd.DataFrame:
 def _local_sums(frame: pd.DataFrame) -> pd.DataFrame:
     """Per node the summed weights of the members."""
     frame = _by_id(frame)
-    segment = int(frame["segment"].iloc[0])
+    before = int(frame["before"].iloc[0])
     weights = list(zip(frame["leaves"].tolist(), frame["saved"].tolist()))
     rows = []
     for bits, depth, high, low, _, _ in _walk(frame):
-        if depth == 0 and segment:
+        if depth == 0 and before:
             continue
         own = [weights[i] for i in _members(bits)]
-        rows.append((segment * SEGMENT + depth, high, low, sum(w[0] for w in own), sum(w[1] for w in own)))
+        rows.append((before + depth, high, low, sum(w[0] for w in own), sum(w[1] for w in own)))
     return pd.DataFrame(rows, columns=["depth", "high", "low", "leaves", "saved"])
 
 
@@ -286,7 +288,7 @@ def prefix_trie(
     )
     weights = stage(totals.groupBy("conv_id").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")))
     sums = (
-        attach(paths.select("conv_id", "shard", "segment", "entry_high", "entry_low", *KEY), weights, ["conv_id"])
+        attach(paths.select("conv_id", "shard", "segment", "before", "entry_high", "entry_low", *KEY), weights, ["conv_id"])
         .fillna(0, ["leaves", "saved"])
         .groupBy("shard", "segment").applyInPandas(_local_sums, "depth long, high long, low long, leaves long, saved long")
         .groupBy(*node).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))

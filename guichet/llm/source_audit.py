@@ -93,7 +93,8 @@ def _share(count: Column | str, total: str, terms: str) -> Column:
 
 
 def _distances(frame: pd.DataFrame) -> pd.DataFrame:
-    """Summed differences of the sources of two tiles over the terms of a block.
+    """Summed differences of the sources of two tiles over the terms of a block that occur in them,
+    and how many those are.
 
     A row without a term gives a source's probability of terms it does not have.
     """
@@ -122,8 +123,8 @@ def _distances(frame: pd.DataFrame) -> pd.DataFrame:
         start = i + 1 if low == high else 0
         others = b_sources[start:]
         values = np.abs(b_table[start:] - a_table[i]).sum(axis=1)
-        parts.append(np.stack([np.full(len(others), source), others, values]))
-    return pd.DataFrame(np.concatenate([np.zeros((3, 0), np.int64), *parts], axis=1).T, columns=["a", "b", "value"])
+        parts.append(np.stack([np.full(len(others), source), others, values, np.full(len(others), len(found))]))
+    return pd.DataFrame(np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1).T, columns=["a", "b", "value", "seen"])
 
 
 def audit_sources(
@@ -209,8 +210,13 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
         .withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
         .select("first", "block", "tile_a", "tile_b", "tile", "number", "term", "p")
     )
-    parts = dealt.groupBy("first", "block", "tile_a", "tile_b").applyInPandas(_distances, "a long, b long, value long")
-    sums = stage(parts.groupBy("a", "b").agg(F.sum("value").alias("value")))
-    both = sums.unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    items = settle(groups.select(F.col("number").alias("b"), F.col("source").alias("item")))
-    return attach(both, items, ["b"]).select(F.col("a").alias("number"), F.lit("pair").alias("part"), "item", "value")
+    parts = dealt.groupBy("first", "block", "tile_a", "tile_b").applyInPandas(_distances, "a long, b long, value long, seen long")
+    sums = stage(parts.groupBy("a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")))
+    both = sums.unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "value", "seen"))
+    own = groups.select(F.col("number").alias("a"), "terms", F.col("absent").alias("own_absent"))
+    items = settle(groups.select(F.col("number").alias("b"), F.col("source").alias("item"), "absent"))
+    # Terms that occur in neither tile.
+    rest = (F.col("terms") - F.col("seen")) * F.abs(F.col("own_absent") - F.col("absent"))
+    return attach(attach(both, settle(own), ["a"]), items, ["b"]).select(
+        F.col("a").alias("number"), F.lit("pair").alias("part"), "item", (F.col("value") + rest).alias("value")
+    )
