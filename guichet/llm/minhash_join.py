@@ -83,6 +83,9 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
+    """``id, n_shingles, set_key, signature`` of ``id, text``, whatever the id is."""
+    kind = docs.schema["id"].dataType.simpleString()
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, names, signatures = [], [], []
@@ -95,7 +98,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 ["id", "n_shingles", "set_key", "signature"],
             )
 
-    return docs.mapInArrow(tidy(sign), "id long, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(tidy(sign), f"id {kind}, n_shingles long, set_key binary, signature binary")
 
 
 def _as_signatures(column: pa.Array) -> np.ndarray:
@@ -445,14 +448,28 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         roots = settle(components(links))
 
     named = classes.select("node", "id", "set_key", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component"))
-    # A class of one row that is its own component needs no entry.
+    lowest = named.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("classes"))
+    # A class of one row that is a component alone needs no entry.
     by_set = settle(
-        named.join(lowest, "root").where("copies > 1 OR component < id").select("set_key", "component")
+        named.join(lowest, "root").where("copies > 1 OR classes > 1").select("set_key", "component", "root")
     )
     return signed.select("id", "n_shingles", "set_key"), by_set
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n_shingles, set_key, component, root, kept`` of every row; without a root a row is the
+    only one of its component, or has copies of its set only."""
+    on_workers(docs.sparkSession)
+    docs = internal(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    with small_batches(docs.sparkSession):
+        signed, by_set = _grouped(docs)
+    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
+    return join_side(signed, by_set, ["set_key"], "left").select(
+        "id", "n_shingles", "set_key", component.alias("component"), "root",
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -467,30 +484,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank text has no shingles and is linked with nothing. A row without an id cannot be named,
     so it is linked with nothing, has a null ``component_id`` and is kept. Repeated rows are in
     one component; each gives a row. Rows of one id with different texts are linked like rows
-    of different ids. Other columns are ignored whatever their names.
+    of different ids. Ids are whole numbers. Other columns are ignored whatever their names.
     """
-    on_workers(docs.sparkSession)
-    docs = internal(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    with small_batches(docs.sparkSession):
-        signed, by_set = _grouped(docs)
-    result = join_side(signed, by_set, ["set_key"], "left")
-    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    return result.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    return _judged(docs, id_col, text_col).select(
+        F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept"
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one per group of near duplicates."""
-    found = stage(near_duplicates(docs, id_col, text_col))
-    dropped = settle(found.where("NOT kept").select(id_col).distinct())
-    rest = join_side(docs, dropped, [id_col], "left_anti")
-    repeated = settle(
-        found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    """The rows of ``docs`` that stay, with all their columns: one per group of near duplicates.
+
+    The row with the lowest id stays; of rows of one id and group, repeated ones too, that with the lowest
+    text. An id may have texts of several groups: each is judged on its own. Rows without an
+    id stay, and so do all texts without shingles, but for repeats of their id.
+    """
+    found = stage(_judged(docs, id_col, text_col).where("id IS NOT NULL").select("id", "set_key", "root", "kept"))
+    ids = found.groupBy(F.col("id").alias(id_col)).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("n_kept")
     )
+    dropped = settle(ids.where("n_kept = 0").select(id_col))
+    rest = join_side(docs, dropped, [id_col], "left_anti")
+    repeated = settle(ids.where("n > 1 AND n_kept > 0").select(id_col))
     if repeated.isEmpty():
         return rest.select(docs.columns)
     once = join_side(rest, repeated, [id_col], "left_anti")
-    again = join_side(rest, repeated, [id_col], "left_semi").dropDuplicates([id_col, text_col])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    # Rows that share an id are told apart by their sets.
+    row = F.struct(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = join_side(rest, repeated, [id_col], "left_semi").select(row.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    named = _signed(rows.distinct()).select(F.col("id.row").alias("row"), F.col("id.text").alias("text"), "set_key", "n_shingles")
+    groups = found.where("kept").select("id", "set_key", "root").distinct()
+    again = (
+        named.withColumn("id", F.col("row")[id_col].cast("long")).join(groups, ["id", "set_key"])
+        .groupBy("id", "root", F.when(F.col("root").isNull(), F.col("set_key")).alias("alone"), F.when(F.col("n_shingles") == 0, F.col("text")).alias("blank"))
+        .agg(F.min(F.struct("text", "row")).alias("first"))
+    )
+    return once.select(docs.columns).unionByName(again.select("first.row.*").select(docs.columns))

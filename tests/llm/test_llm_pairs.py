@@ -113,6 +113,21 @@ def test_keep_one_of_each(spark, odd_rows):
     assert sum(n for (name, _), n in got.items() if name is None) == 2
 
 
+def test_keep_one_of_each_where_ids_have_several_texts(spark):
+    def text(name, n=80):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    z, x, w = text("z"), text("x"), text("w")
+    rows = [
+        (5, z, "a"), (6, x, "a"), (6, z + " more", "a"),  # x is alone, the other copies 5
+        (7, x + " end", "a"), (8, w, "a"), (8, w + " end", "a"), (8, w, "b"), (8, w, "b"),  # one of 8 stays
+        (9, "", "a"), (9, None, "a"), (9, "", "a"), (9, text("v"), "a"), (10, text("v") + " end", "a"), (None, z, "a"),
+    ]
+    kept = minhash_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    assert got == sorted([(5, z, "a"), (6, x, "a"), (8, w, "a"), (9, "", "a"), (9, None, "a"), (9, text("v"), "a"), (None, z, "a")], key=repr)
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_join.near_duplicates(docs).collect() == []

@@ -15,9 +15,9 @@ from guichet.operators.settle import stage
 SF = "/root/testdata/sf0.001"
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
     assert set(SQL) <= set(spark_entry.oracle_sql())
 
