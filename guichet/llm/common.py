@@ -7,15 +7,20 @@ import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from guichet.llm.text_bytes import forget
+
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # A word, the same in Java, RE2 and Python: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,7 @@ def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from step(batches)
+        forget()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
@@ -50,6 +56,18 @@ def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of texts each; a longer text is a slice of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = int(upto[low - 1]) if low else 0
+            high = max(int(np.searchsorted(upto, before + most, "right")), low + 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs started in this block send Python workers at most BATCH_ROWS rows at a time.

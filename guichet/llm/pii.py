@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from guichet.llm.common import internal, on_workers, tidy
+from guichet.llm.common import by_bytes, internal, on_workers, tidy
 from guichet.operators.settle import is_small, join_side, settle, stage
 
 KEY = b"guichet surrogate key"
@@ -400,7 +400,7 @@ def replace(
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             own = batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
             new, numbers = [], []
             for t, extra in zip(batch.column(at).to_pylist(), own):

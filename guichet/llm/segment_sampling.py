@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from guichet.llm.common import internal, on_workers, tidy
+from guichet.llm.common import by_bytes, internal, on_workers, tidy
 from guichet.llm.text_bytes import BASE, BASE_INVERSE, _power, mix, uniform
 
 SAMPLES = 2
@@ -20,8 +20,8 @@ SAMPLES = 2
 EXPONENT = 1.0
 BYTE_PENALTY = 10.0
 SEED = 11
-# Characters of documents that are taken together; a longer document is taken alone.
-CHUNK = 1 << 20
+# Bytes of documents that are taken together; a longer document is taken alone.
+CHUNK = 1 << 18
 # Steps of a path, and random numbers, that are made ready at a time.
 AHEAD = 64
 
@@ -484,38 +484,27 @@ def sample_segmentations(
     with open(model_path, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())
 
-    def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-        low, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > CHUNK:
-                yield low, i
-                low, size = i, 0
-            size += len(t)
-        if low < len(texts):
-            yield low, len(texts)
-
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model.value, exponent)
-        for batch in batches:
+        for batch in by_bytes(batches, 1, CHUNK):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(2).to_numpy().view(np.uint64)
-            for low, high in chunks(texts):
-                rows, numbers, logs, inclusions, same, values = [], [], [], [], [], []
-                for i, found in enumerate(sample_texts(vocabulary, texts[low:high], keys[low:high], k)):
-                    for number, (ids, log_prob, log_inclusion) in enumerate(found or [(np.zeros(0, np.int32), 0.0, 0.0)]):
-                        rows.append(low + i)
-                        numbers.append(number + 1)
-                        logs.append(log_prob)
-                        inclusions.append(log_inclusion)
-                        same.append(vocabulary.decode(ids) == texts[low + i])
-                        values.append(ids)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(np.concatenate(values), pa.int32())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), lists, pa.array(logs), pa.array(inclusions), pa.array(same)],
-                    ["id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"],
-                )
+            rows, numbers, logs, inclusions, same, values = [], [], [], [], [], []
+            for i, found in enumerate(sample_texts(vocabulary, texts, keys, k)):
+                for number, (ids, log_prob, log_inclusion) in enumerate(found or [(np.zeros(0, np.int32), 0.0, 0.0)]):
+                    rows.append(i)
+                    numbers.append(number + 1)
+                    logs.append(log_prob)
+                    inclusions.append(log_inclusion)
+                    same.append(vocabulary.decode(ids) == texts[i])
+                    values.append(ids)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(np.concatenate(values), pa.int32())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), lists, pa.array(logs), pa.array(inclusions), pa.array(same)],
+                ["id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"],
+            )
 
     rows = internal(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64(F.lit(seed), F.col("id")))
     kind = rows.schema["id"].dataType.simpleString()

@@ -40,6 +40,11 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Let go of the powers, which are made again when they are needed."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finisher, which spreads every bit over all 64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
