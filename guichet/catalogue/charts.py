@@ -132,7 +132,8 @@ _SMALL = """WITH v AS (SELECT l_returnflag AS kind, CASE WHEN l_returnflag = 'A'
 @register(
     "total_of_small_values",
     _SMALL + """SELECT kind, CASE WHEN isinf(sum(amount)) THEN 'infinite' ELSE 'finite' END AS size,
-      CASE WHEN NOT isinf(sum(amount)) THEN round(log10(sum(amount)), 9) END AS digits FROM v GROUP BY kind""",
+      CASE WHEN NOT isinf(sum(amount)) THEN CAST(round(fsum(amount) / CASE kind WHEN 'A' THEN 1e-12 ELSE 1e13 END) AS BIGINT) END AS units
+      FROM v GROUP BY kind""",
 )
 def _(spark, sf):
     kind, quantity, first = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_linenumber") == 1
@@ -147,7 +148,7 @@ def _(spark, sf):
     return A.sum_by(lines, "kind", "amount").select(
         "kind",
         F.when(infinite, "infinite").otherwise("finite").alias("size"),
-        F.when(~infinite, F.round(F.log10("value"), 9)).alias("digits"),
+        F.when(~infinite, F.round(F.col("value") / F.when(F.col("kind") == "A", 1e-12).otherwise(1e13))).cast("long").alias("units"),
     )
 
 

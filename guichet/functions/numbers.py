@@ -116,16 +116,42 @@ def keur_to_eur(c: Column) -> Column:
     return c * 1000
 
 
+# A double is cut into whole numbers of DIGIT bits, one for each of these places. A sum of 2**39
+# of them fits in a long; Spark refuses a sum that does not.
+DIGIT = 24
+PLACES = range(-6, 6)
+
+
+def _digits(number: Column) -> tuple[list[Column], Column]:
+    """The digits of a double, lowest first, and what they leave out.
+
+    The digit of place j counts 2 ** (DIGIT * j). Scaling by powers of two, ``rint`` and the
+    differences here are exact, so the digits and the rest add up to the number, bit by bit. Numbers
+    too large for the highest place are left out as a whole, of tiny ones the last bits.
+    """
+    fits = F.abs(number) < 2.0 ** (DIGIT * PLACES[-1] + DIGIT - 2)
+    shifted = {j: F.rint(number * 2.0 ** (-DIGIT * j)) for j in (*PLACES, PLACES[-1] + 1)}
+    digits = [F.when(fits, (shifted[j] - shifted[j + 1] * 2.0**DIGIT).cast("long")) for j in PLACES]
+    low = PLACES[0]
+    return digits, F.when(fits, number - shifted[low] * 2.0 ** (DIGIT * low)).otherwise(number)
+
+
 def exact_sum(c: Column, scale: int | None = None) -> Column:
     """The sum of a measure; nothing sums to 0 and NaN counts as missing.
 
-    Doubles are added as they are. A caller that knows the number of decimals of an amount
-    names it in ``scale``: then amounts are added as decimals, so the sum does not depend on
-    the order of partitions. Values beyond a decimal, infinities too, are still added as doubles.
+    The sum does not depend on the order of rows and partitions: digits of equal places are
+    added as whole numbers, and only their sums become a double again, from the lowest place
+    up. That holds for numbers between 1e-27 and 1e42 in size, and 0. Bits below 2 ** -144 and numbers
+    beyond, infinities too, are added as doubles. A caller that knows the number of decimals of an
+    amount can name it in ``scale``: then amounts are added as decimals.
     """
     number = finite(c)
     if scale is None:
-        return F.coalesce(F.sum(number), F.lit(0.0))
+        digits, rest = _digits(number)
+        out = F.coalesce(F.sum(rest), F.lit(0.0))
+        for place, digit in zip(PLACES, digits):
+            out = out + F.coalesce(F.sum(digit), F.lit(0)).cast("double") * 2.0 ** (DIGIT * place)
+        return out
     amount = number.try_cast(f"decimal(28,{scale})")
     rest = F.sum(F.when(amount.isNull(), number))
     return F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import re
 
 import pandas as pd
@@ -180,6 +181,26 @@ def test_sums_do_not_depend_on_partitions(spark):
     assert len(got) == 1
 
 
+@pytest.mark.parametrize("low, high", [(-5, 5), (-20, 30), (-3, 12)])
+def test_sums_are_exact_in_any_order(spark, low, high):
+    pick = random.Random(low)
+    values = [pick.choice((-1, 1)) * pick.random() * 10.0 ** pick.randint(low, high) for _ in range(3000)]
+    values += [-v for v in values[:1500]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {df.repartition(n).agg(numbers.exact_sum(F.col("v"))).first()[0] for n in (1, 5)}
+    assert len(got) == 1 and got.pop() == pytest.approx(math.fsum(values), rel=4e-16)
+
+
+def test_sums_beyond_the_places(spark):
+    def total(*values):
+        return spark.createDataFrame([(v,) for v in values], "v double").agg(numbers.exact_sum(F.col("v"))).first()[0]
+
+    inf = math.inf
+    assert total(1e200, 1.0, -1e200) in (0.0, 1.0) and total(1e200, 1e200) == 2e200
+    assert total(inf, 1.0) == inf and total(-inf, 1.0) == -inf and math.isnan(total(inf, -inf))
+    assert total(5e-324, 5e-324) == 1e-323 and total(2.0**142, -(2.0**142), 2.0**-140) == 2.0**-140
+
+
 def test_sums_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "v double")
     assert tuple(df.agg(numbers.exact_sum(F.col("v")), numbers.exact_mean(F.col("v"))).first()) == (1.5, 1.5)
