@@ -17,7 +17,7 @@ D = """WITH d AS (
          l_shipdate AS signed, l_extendedprice AS committed,
          l_extendedprice * (1 - l_discount) AS granted, l_quantity AS quantity, l_tax AS marker,
          l_returnflag AS financing, CAST(year(o_orderdate) AS INTEGER) AS year,
-         o_orderpriority AS priority, c_mktsegment AS channel, n_name AS country,
+         o_orderpriority AS priority, c_mktsegment AS channel, c_name AS buyer, n_name AS country,
          r_name AS region, p_type AS sector, p_brand AS agency, p_name AS product
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey

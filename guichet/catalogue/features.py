@@ -66,6 +66,25 @@ def _(spark, sf):
     return encode.one_hot_ignore(df, ["month"], known)
 
 
+@register(
+    "one_hot_of_many_categories",
+    D + f""", t AS (SELECT {_ID}, buyer, CAST(project AS VARCHAR) AS file FROM d),
+    x AS (SELECT buyer, row_number() OVER (ORDER BY buyer) - 2 AS place FROM (SELECT DISTINCT buyer FROM t)),
+    z AS (SELECT file, row_number() OVER (ORDER BY file) - 2 AS place FROM (SELECT DISTINCT file FROM t)),
+    n AS (SELECT (SELECT count(*) FROM x) AS nx, (SELECT count(*) FROM z) AS nz)
+    SELECT {_ID}, concat_ws(',', CASE WHEN x.place >= 0 THEN x.place END, CASE WHEN z.place >= 0 THEN nx - 1 + z.place END) AS places,
+      nx + nz - 2 AS size
+    FROM t JOIN x USING (buyer) JOIN z USING (file), n""",
+)
+def _(spark, sf):
+    """A place per customer name and project, without the first of each."""
+    names = ["buyer", "file"]
+    df = declarations(spark, sf, *LINE_KEY, "buyer").withColumn("file", F.col("project").cast("string"))
+    fitted, size = encode.fit_one_hot(df, names, drop_first=True)
+    places = F.array_join(F.col("positions").cast("array<string>"), ",")
+    return encode.one_hot_positions(df, names, fitted).select(*LINE_KEY, places.alias("places"), F.lit(size).cast("long").alias("size"))
+
+
 _CODES = """, c AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code
   FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL)) """
 

@@ -9,17 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from guichet import vocabulary as V
 from guichet.functions.numbers import finite
 from guichet.functions.text import map_columns, quoted
 from guichet.operators.profile import column_values, median, most_frequent
 from guichet.operators.ranks import number_rows
-from guichet.operators.settle import attach, is_small, settle, small_parts, stage
-
-# One-hot needs one output column per category.
-MAX_ONE_HOT = 2000
+from guichet.operators.settle import attach, is_small, large_parts, settle, stage
 
 
 def impute_constant(df: DataFrame, names: Sequence[str], value: str = V.MISSING_CATEGORY) -> DataFrame:
@@ -59,18 +58,15 @@ def impute_mode(df: DataFrame, names: Sequence[str], fit_on: DataFrame | None =
 
 
 def fit_categories(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories per column, for encodings with a column per category.
+    """Sorted categories per column, for results with a column per category.
 
-    Their number bounds the width of the result, so too many are an error.
+    Such a result is as wide as there are categories, so this is for short lists; ``fit_one_hot``
+    and ``one_hot_vector`` take any number.
     """
     if not names:
         return {}
-    values = settle(column_values(df, names).select("column", "value"))
-    n = values.count()
-    if n > MAX_ONE_HOT:
-        raise ValueError(f"{n} categories are too many columns; use ordinal or target encoding")
     found: dict[str, list[str]] = {c: [] for c in names}
-    for row in values.orderBy("column", "value").collect():
+    for row in column_values(df, names).select("column", "value").orderBy("column", "value").collect():
         found[row["column"]].append(row["value"])
     return found
 
@@ -102,6 +98,68 @@ def _one_hot(df, names, categories, drop_first) -> DataFrame:
     return df.select(*rest, *one_hot_columns(categories, drop_first))
 
 
+def fit_one_hot(df: DataFrame, names: Sequence[str], drop_first: bool = False) -> tuple[DataFrame, int]:
+    """((column, value, position), number of positions): a place per category in one vector.
+
+    The columns follow each other in the order given, each with its categories in order. Without its
+    first category a column has one place less. A table, so the categories may be any number.
+    """
+    values = column_values(df, names).select("column", "value")
+    column = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column")).alias("_nth")
+    numbered, n = number_rows(stage(values.select(column, "column", "value")), [F.col("_nth"), F.col("value")])
+    if not drop_first:
+        return stage(numbered.select("column", "value", "position")), n
+    # One row per column.
+    starts = numbered.groupBy("column").agg(F.min("position").alias("_start"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_start")
+    starts = settle(starts.withColumn("_dropped", F.row_number().over(before)))
+    kept = attach(numbered, starts, ["column"]).where("position > _start")
+    places = stage(kept.select("column", "value", (F.col("position") - F.col("_dropped")).alias("position")))
+    return places, n - starts.count()
+
+
+def one_hot_positions(df: DataFrame, names: Sequence[str], fitted: DataFrame, out: str = "positions") -> DataFrame:
+    """``df`` with the positions of its categories, ascending, in place of the columns.
+
+    Null and unseen categories have none.
+    """
+    found = _look_up(df, names, fitted, "position", F.lit(None).cast("long"))
+    places = F.array_sort(F.array_compact(F.array(*[quoted(c) for c in names])))
+    return found.select(*[quoted(c) for c in df.columns if c not in names], places.alias(out))
+
+
+def sparse_vector(size: int, indices: Column, values: Column) -> Column:
+    """A sparse ML vector from its parts; ``indices`` ascend."""
+    # A vector's plain form is a struct; 0 marks a sparse one.
+    plain = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+        indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"),
+    )
+    kind = StructType([StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(plain.alias("v"))), kind)["v"]
+
+
+def one_hot_vector(
+    df: DataFrame, names: Sequence[str], fitted: DataFrame, size: int,
+    numbers: Sequence[Column] = (), keep: Sequence[str] = (), out: str = "features",
+) -> DataFrame:
+    """The kept columns and a sparse vector: ``numbers`` first, then a 1 per category.
+
+    As wide as the dictionary, yet a row holds its own categories only. ``numbers`` are not null.
+    """
+    m = len(numbers)
+    named = [c.cast("double").alias(f"_x{i}") for i, c in enumerate(numbers)]
+    kept = [quoted(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = one_hot_positions(df.select(*[quoted(c) for c in names], *kept, *named), names, fitted, "_places")
+    ones = F.transform("_places", lambda _: F.lit(1.0))
+    indices = F.transform("_places", lambda p: (p + m).cast("int"))
+    if m:
+        indices = F.concat(F.array(*[F.lit(i) for i in range(m)]), indices)
+        ones = F.concat(F.array(*[F.col(f"_x{i}") for i in range(m)]), ones)
+    shown = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.select(*shown, sparse_vector(m + size, indices, ones).alias(out))
+
+
 def fit_ordinal(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, value, code): codes 0, 1, … in the order of the values of a column."""
     values = stage(column_values(df, names).select("column", "value"))
@@ -125,25 +183,46 @@ def ordinal_encode(
 
 
 def _look_up(df, names, fitted, result, default, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with what ``fitted`` has for the values of the named columns in their place.
+
+    A column's dictionary is broadcast if it is small. All columns with a large one are looked up
+    together.
+    """
     shown = list(df.columns)
-    small = small_parts(fitted, "column")
-    for name in names:
+    large = large_parts(fitted, "column")
+    for name in [c for c in names if c not in large]:
         side = fitted.where(F.col("column") == name).select(
             F.col("value").alias("_value"), *by, F.col(result).alias("_found")
         )
-        # A column without fitted values has nothing to look up, which is small too.
-        fits = name in small or side.isEmpty()
-        joined = attach(df.withColumn("_value", quoted(name).cast("string")), side, ["_value", *by], fits)
+        joined = attach(df.withColumn("_value", quoted(name).cast("string")), side, ["_value", *by], True)
         df = joined.select(
             *[
                 F.coalesce("_found", default).alias(c) if c == name else quoted(c)
                 for c in shown
             ]
         )
-        if not fits:
-            # The join has several branches; the next one must not multiply them.
-            df = stage(df)
-    return df
+    together = [c for c in names if c in large]
+    return _look_up_together(df, together, fitted, result, default, by) if together else df
+
+
+def _look_up_together(df, names, fitted, result, default, by) -> DataFrame:
+    """The table is written once and its values, a row each, meet the whole dictionary in one join;
+    what they find goes back to its row by number."""
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()))
+    nth = {c: f"_c{i}" for i, c in enumerate(names)}
+    values = rows.select("_row", *by, *[quoted(c).cast("string").alias(nth[c]) for c in names]).unpivot(
+        ["_row", *by], list(nth.values()), "_nth", "_value"
+    )
+    code = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(nth[c]))])
+    side = fitted.where(F.col("column").isin(names)).select(
+        code[F.col("column")].alias("_nth"), F.col("value").alias("_value"), *by, F.col(result).alias("_found")
+    )
+    found = attach(values.where("_value IS NOT NULL"), stage(side), ["_nth", "_value", *by], False)
+    packed = found.where("_found IS NOT NULL").groupBy("_row").agg(
+        *[F.max(F.when(F.col("_nth") == nth[c], F.col("_found"))).alias(f"_found{nth[c]}") for c in names]
+    )
+    back = {c: F.coalesce(f"_found{nth[c]}", default).alias(c) for c in names}
+    return rows.join(packed, "_row", "left").select(*[back[c] if c in back else quoted(c) for c in df.columns])
 
 
 def fit_target(
@@ -228,17 +307,26 @@ def feature_frame(
     numbers: Sequence[str],
     markers: Sequence[str],
     keep: Sequence[str] = (),
+    vector: str | None = None,
 ) -> DataFrame:
     """Dummies without the first category, numbers with medians filled in, 0/1 markers.
 
-    Columns the table lacks are skipped; medians are taken over all rows.
+    Columns the table lacks are skipped; medians are taken over all rows. ``vector`` names a column
+    that holds all of them as one sparse vector, numbers and markers first, whatever the number
+    of categories; without it there is a column each.
     """
     cats = [c for c in categories if c in df.columns]
     nums = [c for c in numbers if c in df.columns]
+    marks = [c for c in markers if c in df.columns]
     medians = fit_medians(df, nums)
+    filled = [F.coalesce(finite(quoted(c)), F.lit(medians[c])).alias(c) for c in nums]
+    if vector is not None:
+        dictionary, size = fit_one_hot(df, cats, drop_first=True)
+        whole = [F.coalesce(quoted(c).cast("int"), F.lit(0)) for c in marks]
+        return one_hot_vector(df, cats, dictionary, size, [*filled, *whole], keep, vector)
     return df.select(
         *[quoted(c) for c in keep],
         *one_hot_columns(fit_categories(df, cats), drop_first=True),
-        *[F.coalesce(finite(quoted(c)), F.lit(medians[c])).alias(c) for c in nums],
-        *[quoted(c).cast("int").alias(c) for c in markers if c in df.columns],
+        *filled,
+        *[quoted(c).cast("int").alias(c) for c in marks],
     )

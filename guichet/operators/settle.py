@@ -47,10 +47,10 @@ def is_small(df: DataFrame) -> bool:
     return df.agg(_size(df).alias("small")).first()["small"]
 
 
-def small_parts(df: DataFrame, by: str) -> set[str]:
-    """The values of ``by``, a column with few values, whose rows may be broadcast."""
+def large_parts(df: DataFrame, by: str) -> set[str]:
+    """The values of ``by``, a column with few values, whose rows are too many to broadcast."""
     parts = df.groupBy(quoted(by)).agg(_size(df).alias("small"))
-    return {row[by] for row in parts.where("small").collect()}
+    return {row[by] for row in parts.where("NOT small").collect()}
 
 
 def is_short(df: DataFrame) -> bool:

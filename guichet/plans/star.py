@@ -26,7 +26,7 @@ _FROM_LINE = {
     "financing": "l_returnflag",
 }
 _FROM_ORDER = {"year": "year(o_orderdate)", "priority": "o_orderpriority"}
-_FROM_CUSTOMER = {"channel": "c_mktsegment"}
+_FROM_CUSTOMER = {"channel": "c_mktsegment", "buyer": "c_name"}
 _FROM_NATION = {"country": "n_name"}
 _FROM_REGION = {"region": "r_name"}
 _FROM_PART = {"sector": "p_type", "agency": "p_brand", "product": "p_name"}

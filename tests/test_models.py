@@ -30,11 +30,76 @@ def test_one_hot(spark):
     assert rows(encode.one_hot_ignore(df, ["c"], known)) == [(1, 0, 1), (2, 1, 0), (3, 0, 0), (4, 0, 0)]
 
 
-def test_one_hot_refuses_too_many_columns(spark, monkeypatch):
-    monkeypatch.setattr(encode, "MAX_ONE_HOT", 3)
-    df = spark.range(5).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="too many"):
-        encode.fit_categories(df, ["c"])
+@pytest.mark.parametrize("distributed", [False, True])
+def test_one_hot_vectors(spark, distributed, request):
+    if distributed:
+        request.getfixturevalue("small_broadcasts")
+    data = [("b", "y", 1.5), ("a", None, 0.0), (None, "x", -2.0), ("c", "z", 4.0)]
+    df = spark.createDataFrame(data, "c string, `d d` string, n double")
+    fitted, size = encode.fit_one_hot(df, ["d d", "c"])
+    assert size == 6
+    assert {(r["column"], r["value"]): r["position"] for r in fitted.collect()} == {
+        ("d d", "x"): 0, ("d d", "y"): 1, ("d d", "z"): 2, ("c", "a"): 3, ("c", "b"): 4, ("c", "c"): 5
+    }
+    new = spark.createDataFrame([*data, ("new", "x", 7.0)], df.schema)
+    got = {r["n"]: r["features"].toArray().tolist() for r in encode.one_hot_vector(new, ["d d", "c"], fitted, size, [F.col("n"), F.col("n") * 2], ["n"]).collect()}
+    assert got == {
+        1.5: [1.5, 3.0, 0, 1, 0, 0, 1, 0], 0.0: [0, 0, 0, 0, 0, 1, 0, 0], -2.0: [-2, -4, 1, 0, 0, 0, 0, 0],
+        4.0: [4, 8, 0, 0, 1, 0, 0, 1], 7.0: [7, 14, 1, 0, 0, 0, 0, 0],
+    }
+    fitted, size = encode.fit_one_hot(df, ["c", "d d"], drop_first=True)
+    assert size == 4
+    assert {r["value"]: r["position"] for r in fitted.collect()} == {"b": 0, "c": 1, "y": 2, "z": 3}
+    none, size = encode.fit_one_hot(df.where("n > 100"), ["c", "d d"], drop_first=True)
+    assert size == 0 and none.count() == 0
+
+
+def test_one_hot_of_many_categories(spark, small_broadcasts):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.format_string("%05d", "id")).alias("c"), (F.col("id") % 7).cast("string").alias("d"), "id")
+    fitted, size = encode.fit_one_hot(df, ["c", "d"])
+    assert size == 5007
+    out = encode.one_hot_vector(df, ["c", "d"], fitted, size, [], ["id"])
+    assert all(r["features"].indices.tolist() == [r["id"], 5000 + r["id"] % 7] for r in out.collect())
+
+
+def test_feature_vector_equals_feature_columns(spark):
+    data = [("b", 2020, None, 1, 0.5), ("a", 2021, 3, 0, 0.7), (None, None, 5, 1, 0.9)]
+    df = spark.createDataFrame(data, "`Région` string, y int, m int, FTC int, target double")
+    asked = ["Région", "Secteur"], ["y", "m", "zz"], ["FTC", "Genre"], ["target"]
+    wide = encode.feature_frame(df, *asked).select("target", "y", "m", "FTC", "Région_b")
+    vectors = encode.feature_frame(df, *asked, vector="all")
+    assert [(r["target"], *r["all"].toArray()) for r in vectors.collect()] == rows(wide)
+
+
+@pytest.mark.parametrize("make", [models.fit_linear, models.fit_tree])
+def test_models_take_sparse_vectors(spark, make):
+    rng = np.random.default_rng(3)
+    data = [(f"c{rng.integers(0, 6)}", float(rng.normal()), float(rng.normal())) for _ in range(400)]
+    df = spark.createDataFrame(data, "c string, n double, e double").withColumn("y", F.col("n") * 3 + F.length("c") + F.substring("c", 2, 1).cast("double") + F.col("e") / 10)
+    features = models.FittedFeatures(numbers=["n"], one_hot=["c"])
+    features.places, features.width = encode.fit_one_hot(df, ["c"], drop_first=True)
+    model = make("y").fit(features.transform(df, ["y"]))
+    wide = encode.one_hot_drop_first(df, ["c"])
+    from pyspark.ml.feature import VectorAssembler
+
+    plain = VectorAssembler(inputCols=["n", *[c for c in wide.columns if c.startswith("c_")]], outputCol="features").transform(wide)
+    want = make("y").fit(plain).transform(plain).orderBy("y").select("prediction")
+    got = model.transform(features.transform(df, ["y"])).orderBy("y").select("prediction")
+    assert [r[0] for r in got.collect()] == pytest.approx([r[0] for r in want.collect()], rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_large_dictionaries_are_looked_up_together(spark, small_broadcasts, monkeypatch, n):
+    """However many columns there are, the table is written once and one join meets the dictionary."""
+    names = [f"c{i}" for i in range(n)]
+    df = spark.range(300).select("id", *[(F.col("id") % (i + 3)).cast("string").alias(c) for i, c in enumerate(names)])
+    fitted = encode.fit_ordinal(df, names)
+    written, joined = [], []
+    monkeypatch.setattr(encode, "stage", lambda d, f=encode.stage: (written.append(d), f(d))[1])
+    monkeypatch.setattr(encode, "attach", lambda *a, f=encode.attach: (joined.append(a), f(*a))[1])
+    out = encode.ordinal_encode(df, names, fitted)
+    assert len(written) == 2 and len(joined) == 1
+    assert all(all(r[c] == r["id"] % (i + 3) for i, c in enumerate(names)) for r in out.collect())
 
 
 def test_ordinal_codes(spark, small_broadcasts):
