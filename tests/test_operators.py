@@ -424,6 +424,32 @@ def test_quantiles_with_coarse_brackets(spark, monkeypatch):
     assert got == pytest.approx({p: np.quantile(values, p) for p in (0.1, 0.5, 0.77)})
 
 
+@pytest.mark.parametrize("kind", ["spread", "heavy", "ties"])
+def test_crowded_brackets_are_narrowed(spark, monkeypatch, kind):
+    """No task orders more than LISTED values of a column and rank."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 40)
+    monkeypatch.setattr(quantiles, "LISTED", 30)
+    pick = np.random.default_rng(4)
+    values = {
+        "spread": pick.normal(size=3000), "heavy": 10.0 ** pick.uniform(-200, 200, 3000),
+        "ties": np.concatenate([np.full(1500, 7.0), pick.integers(0, 20, 1500)]).astype(float),
+    }[kind]
+    listed = []
+
+    def watched(long, brackets, wanted, f=quantiles._listed):
+        pairs = [pair for own in brackets.values() for pair in own]
+        listed.extend(len(np.unique(values[(values >= a) & (values <= b)])) for a, b in pairs)
+        return f(long, brackets, wanted)
+
+    monkeypatch.setattr(quantiles, "_listed", watched)
+    df = spark.createDataFrame([(float(v), float(-v)) for v in values], "x double, y double")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in quantiles.quantile_table(df, ["x", "y"], probs).collect()}
+    for p in probs:
+        assert got["x", p] == pytest.approx(np.quantile(values, p)) and got["y", p] == pytest.approx(np.quantile(-values, p))
+    assert listed and max(listed) <= 30
+
+
 def test_median_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert rows(profile.median(df, ["x"])) == []
