@@ -64,6 +64,43 @@ def _(spark, sf):
     return scores.select("fold", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "n")
 
 
+_FOLDED = f""", p AS (SELECT *, row_number() OVER (ORDER BY signed, {_ID}) - 1 AS pos, count(*) OVER () AS n FROM v),
+    f AS (SELECT *, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+      ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM p),
+    k AS (SELECT DISTINCT fold AS held FROM f)"""
+
+
+@register(
+    "cross_validation_with_encoders",
+    D + f""", v AS (SELECT {_ID}, signed, ln(1 + committed) AS y, CASE WHEN financing <> 'N' THEN quantity END AS quantity,
+      coalesce(CASE WHEN line < 6 THEN strftime(signed, '%Y-%m') END, 'inconnu') AS month FROM d)"""
+    + _FOLDED
+    + """, m AS (SELECT held, median(quantity) AS med FROM k JOIN f ON fold <> held GROUP BY held),
+    c AS (SELECT held, month, row_number() OVER (PARTITION BY held ORDER BY month) - 1 AS code
+      FROM (SELECT DISTINCT held, month FROM k JOIN f ON fold <> held)),
+    x AS (SELECT k.held, fold, y, coalesce(quantity, med) AS a, CAST(coalesce(code, -1) AS DOUBLE) AS b
+      FROM f CROSS JOIN k JOIN m ON m.held = k.held LEFT JOIN c ON c.held = k.held AND c.month = f.month),
+    g AS (SELECT held, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb,
+      avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x WHERE fold <> held GROUP BY held),
+    w AS (SELECT held, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb, ma, mb, my FROM g),
+    e AS (SELECT fold, y, y - (my + wa * (a - ma) + wb * (b - mb)) AS err FROM x JOIN w ON w.held = x.held AND fold = x.held)
+    SELECT fold, round(sqrt(avg(err * err)), 6) AS rmse, round(avg(abs(err)), 6) AS mae,
+      round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS n FROM e GROUP BY fold""",
+)
+def _(spark, sf):
+    """Months are ordered like the folds, so every held-out fold has months its training set lacks."""
+    d = _log_lines(spark, sf, "signed", "quantity", "financing")
+    df = d.withColumn("quantity", F.when(F.col("financing") != "N", F.col("quantity"))).withColumn(
+        "month", F.when(F.col("line") < 6, F.date_format("signed", "yyyy-MM"))
+    )
+    folded = splits.kfold(df, 5, line_order("signed", *LINE_KEY))
+    scores = models.cross_validate(
+        folded, models.hourly_features(["month"], ["quantity"]),
+        {"LinearRegression": lambda: models.fit_linear("log_committed")}, "log_committed", "fold", 5,
+    )
+    return scores.select("fold", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "n")
+
+
 def _fit_and_measure(spark, sf, make):
     df = _log_lines(spark, sf, "quantity", "year", "agency", "sector")
     # Fitting passes over the rows several times.

@@ -280,6 +280,48 @@ def test_cross_validation_scores_every_row_once(projects):
     ]
 
 
+@pytest.fixture
+def odd_folds(spark):
+    """Values that one fold alone has, nulls, a column without values and a constant one."""
+    pick = np.random.default_rng(8)
+    data = [
+        (i, i % 4, [None, "a", "b", f"only{i % 4}"][pick.integers(0, 4)], None if i % 5 == 0 else float(pick.normal(2000, 3)), None, 7.0,
+         float(pick.normal()) if i % 11 else None)
+        for i in range(600)
+    ]
+    return spark.createDataFrame(data, "i int, fold int, c string, n double, none double, one double, y double")
+
+
+# Spark solves systems with constant columns iteratively, to its tolerance.
+@pytest.mark.parametrize("numbers, rel", [(["n"], 1e-9), (["n", "one", "none"], 1e-5)])
+@pytest.mark.parametrize("distributed", [False, True])
+def test_linear_folds_equal_separate_fits(spark, odd_folds, distributed, numbers, rel, request, monkeypatch):
+    if distributed:
+        request.getfixturevalue("small_broadcasts")
+    df = odd_folds.where("y IS NOT NULL")
+    fit = models.hourly_features(["c"], numbers)
+    makers = {"l": lambda: models.fit_linear("y")}
+    at_once = models.cross_validate(odd_folds, fit, makers, "y", "fold", 4)
+    monkeypatch.setattr(models.folds, "MOST_FEATURES", 0)
+    apart = models.cross_validate(df, fit, makers, "y", "fold", 4)
+    for a, b in zip(at_once.orderBy("fold").collect(), apart.orderBy("fold").collect()):
+        assert tuple(a)[:2] == tuple(b)[:2] and a["n"] == b["n"]
+        assert [a[c] for c in ("rmse", "mae", "r2")] == pytest.approx([b[c] for c in ("rmse", "mae", "r2")], rel=rel)
+
+
+@pytest.mark.parametrize("distributed", [False, True])
+def test_encoders_of_all_folds_equal_separate_fits(spark, odd_folds, distributed, request):
+    if distributed:
+        request.getfixturevalue("small_broadcasts")
+    fit = models.hourly_features(["c"], ["n", "none"])
+    for i, got in enumerate(fit.of_folds(odd_folds, "fold", 4)):
+        want = fit(odd_folds.where(F.col("fold") != i))
+        assert got.medians == want.medians
+        assert sorted(map(tuple, got.codes.select("column", "value", "code").collect())) == sorted(
+            map(tuple, want.codes.select("column", "value", "code").collect())
+        )
+
+
 def test_best_model_and_ties(spark):
     scores = spark.createDataFrame(
         [("RandomForestRegressor", 0.5), ("LinearRegression", 0.5), ("DecisionTreeRegressor", 0.4)], "model string, score double"
