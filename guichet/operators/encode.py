@@ -318,15 +318,17 @@ def feature_frame(
     cats = [c for c in categories if c in df.columns]
     nums = [c for c in numbers if c in df.columns]
     marks = [c for c in markers if c in df.columns]
-    medians = fit_medians(df, nums)
+    # Encoders are fitted on a copy of their columns, so the table is run once for them.
+    known = stage(df.select(*[quoted(c) for c in dict.fromkeys([*cats, *nums])])) if cats or nums else df
+    medians = fit_medians(known, nums)
     filled = [F.coalesce(finite(quoted(c)), F.lit(medians[c])).alias(c) for c in nums]
     if vector is not None:
-        dictionary, size = fit_one_hot(df, cats, drop_first=True)
+        dictionary, size = fit_one_hot(known, cats, drop_first=True)
         whole = [F.coalesce(quoted(c).cast("int"), F.lit(0)) for c in marks]
         return one_hot_vector(df, cats, dictionary, size, [*filled, *whole], keep, vector)
     return df.select(
         *[quoted(c) for c in keep],
-        *one_hot_columns(fit_categories(df, cats), drop_first=True),
+        *one_hot_columns(fit_categories(known, cats), drop_first=True),
         *filled,
         *[quoted(c).cast("int").alias(c) for c in marks],
     )

@@ -194,11 +194,15 @@ def decile_edges(df: DataFrame, name: str, q: int = 10) -> list[float]:
     return sorted({row["value"] for row in table.collect()})
 
 
-def decile_bins(df: DataFrame, name: str, q: int = 10, out: str = "bin") -> DataFrame:
-    """0-based quantile bin of each row: right-closed, the lowest value included."""
-    edges = decile_edges(df, name, q)
-    c = finite(quoted(name))
+def decile_of(value: Column, edges: Sequence[float]) -> Column:
+    """0-based bin of a value: right-closed, the lowest value included."""
+    c = finite(value)
     bin_ = F.lit(max(len(edges) - 2, 0))
     for i, edge in reversed(list(enumerate(edges[1:-1]))):
         bin_ = F.when(c <= edge, i).otherwise(bin_)
-    return df.withColumn(out, F.when(c.isNotNull(), bin_).cast("int"))
+    return F.when(c.isNotNull(), bin_).cast("int")
+
+
+def decile_bins(df: DataFrame, name: str, q: int = 10, out: str = "bin") -> DataFrame:
+    """Quantile bin of each row."""
+    return df.withColumn(out, decile_of(quoted(name), decile_edges(df, name, q)))

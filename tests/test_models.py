@@ -231,6 +231,46 @@ def test_decile_split(spark):
     assert marked.where("is_test").count() == 200
 
 
+@pytest.mark.parametrize("ranked", [2, 40])
+def test_cuts_are_narrowed_digit_by_digit(spark, monkeypatch, ranked):
+    df = spark.range(3000).select(F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 3).alias("s"), (F.col("id") % 97).cast("double").alias("y"))
+
+    def marks():
+        tables = splits.random_split(df, ["id"]), splits.stratified_split(df, ["s"], ["id"]), splits.decile_split(df, "y", ["id"])
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    want = marks()
+    monkeypatch.setattr(splits, "_PREFIX", 1)
+    monkeypatch.setattr(splits, "RANKED", ranked)
+    assert marks() == want
+    monkeypatch.setattr(splits, "RANKED", 0)  # to the last digit
+    monkeypatch.setattr(splits, "_PREFIX", 8)
+    assert marks() == want
+
+
+def test_splits_run_their_source_once_and_for_the_result(spark):
+    from guichet.operators import encode
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("s"), F.col("id").cast("double").alias("y"))
+    df = df.mapInArrow(watch, df.schema)
+    for make in (
+        lambda: splits.random_split(df, ["id"]), lambda: splits.stratified_split(df, ["s"], ["id"]), lambda: splits.decile_split(df, "y", ["id"]),
+        lambda: encode.feature_frame(df, ["s"], ["y"], [], ["id"]), lambda: encode.feature_frame(df, ["s"], ["y"], [], ["id"], "v"),
+    ):
+        before = seen.value
+        marked = make()
+        assert seen.value - before == 1000
+        assert len(marked.collect()) == 1000
+        assert seen.value - before == 2000
+
+
 @pytest.mark.parametrize("n,k", [(23, 5), (10, 5), (3, 5), (100, 7)])
 def test_folds_are_contiguous(spark, n, k):
     df = spark.range(n).repartition(4)
