@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from guichet.functions.text import map_columns, missing_to_null
+from guichet.operators.settle import attach, join_side, settle, stage
 
 ROW_ORD = "row_ord"
+# Names of snapshots.
+SNAPSHOTS = "apd_*.csv"
 
 
 def unique_headers(names: Sequence[str | None]) -> list[str]:
@@ -40,6 +43,62 @@ def file_order() -> Column:
     )
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at, header): the records of UTF-8 files, quoted line breaks included.
+
+    ``at`` orders them (``file_order``), ``header`` marks the first of each file. Files are read in
+    splits: whether a split begins inside quotes follows from the number of quotes in the splits
+    before it. Only lines of splits that hold a quoted break are brought together, by split, and
+    only the pieces of such a record meet in one task.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", file_order().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.select("value", "at", F.col("at.file").alias("file"), F.col("at.block").alias("block"), (quotes % 2).alias("odd"))
+    blocks = settle(lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"), F.min("at.line").alias("first")))
+    # One row per split.
+    in_file = Window.partitionBy("file").orderBy("block")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    is_open = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    states = settle(
+        blocks.select(
+            "file", "block", is_open.alias("open"), ((is_open == 0) & (F.col("odd") == 0)).alias("plain"),
+            F.when(F.row_number().over(in_file) == 1, F.col("first")).alias("top"),
+        )
+    )
+    known = join_side(lines, states, ["file", "block"], "inner").withColumn("header", F.coalesce(F.col("at.line") == F.col("top"), F.lit(False)))
+    plain = known.where("plain").select("value", "at", "header")
+    if states.where("NOT plain").isEmpty():
+        return plain
+
+    in_block = Window.partitionBy("file", "block").orderBy("at.line")
+    quoted_before = F.coalesce(F.sum("odd").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = known.where("NOT plain").withColumn("inside", (F.col("open") + quoted_before) % 2)
+    begins = F.when(F.col("inside") == 0, F.col("at"))
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = stage(running.where("inside = 1 OR odd = 1").withColumn("start", F.last(begins, ignorenulls=True).over(upto)))
+    # A record that began in an earlier split.
+    last = settle(pieces.groupBy("file", "block").agg(F.max("start").alias("last")))
+    carried = settle(last.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried")))
+    put_together = stage(
+        join_side(pieces, carried, ["file", "block"], "inner")
+        .groupBy(F.coalesce("start", "carried").alias("start"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines"))
+        .select("start", F.array_join(F.col("lines.value"), "\n").alias("whole"))
+    )
+    # Lines stay in their order; the first line of a broken record takes the whole of it.
+    opening = running.where("inside = 0").withColumn("start", F.when(F.col("odd") == 1, F.col("at")))
+    whole = attach(opening, put_together, ["start"]).select(F.coalesce("whole", "value").alias("value"), "at", "header")
+    return plain.unionByName(whole)
+
+
+def _parsed(rows: DataFrame, schema: T.StructType, options: dict) -> DataFrame:
+    """The data rows of ``records`` as columns, with their place ``at``."""
+    value = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    filled = rows.where("NOT header").select(value.alias("value"), "at").where(F.length("value") > 0)
+    cells = filled.select(F.from_csv("value", schema.simpleString(), options).alias("cells"), "at")
+    return cells.select(*[F.col("cells").getField(c).alias(c) for c in schema.names], "at")
+
+
 def scan_delimited(
     spark: SparkSession,
     path: str,
@@ -50,13 +109,14 @@ def scan_delimited(
 ) -> DataFrame:
     """A header file as strings, with missing tokens as null.
 
-    Nothing is inferred: casts are explicit steps. Quoted line breaks need
-    ``multiline``, which reads a file in one task; set it to False for large files
-    without them, which are then split. All files must have the same header.
+    Nothing is inferred: casts are explicit steps. Files are read in splits. Quoted line breaks need
+    ``multiline``, which passes over the quotes first; False spares that for files without
+    them. Other encodings than UTF-8 are read in one task per file if they may have quoted
+    breaks. All files must have the same header.
     """
     options = {
         "sep": sep,
-        "encoding": "UTF-8" if encoding.lower() in ("utf-8-sig", "utf8") else encoding,
+        "encoding": "UTF-8" if encoding.lower() in ("utf-8-sig", "utf8", "utf-8") else encoding,
         "quote": '"',
         "escape": '"',
         "multiLine": multiline,
@@ -66,6 +126,12 @@ def scan_delimited(
     if first is None:
         raise ValueError(f"no header in {path}")
     names = unique_headers([c.lstrip("\ufeff") if c else c for c in first])
+    if multiline and options["encoding"] == "UTF-8":
+        # Cells are named by place while they are parsed, whatever their names hold.
+        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        df = _parsed(records(spark, path), places, options | {"multiLine": "true"})
+        df = df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *([F.col("at").alias(row_ord)] if row_ord else []))
+        return map_columns(df, names, missing_to_null)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     df = spark.read.options(**options).option("header", True).schema(schema).csv(path)
     if row_ord:
@@ -73,7 +139,7 @@ def scan_delimited(
     return map_columns(df, names, missing_to_null)
 
 
-def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str:
+def latest_file(spark: SparkSession, folder: str, pattern: str = SNAPSHOTS) -> str:
     """The last file of a folder by name; file contents are not read."""
     try:
         files = (
@@ -88,7 +154,7 @@ def latest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str
 
 
 def scan_latest(
-    spark: SparkSession, folder: str, pattern: str = "apd_*.csv", **options
+    spark: SparkSession, folder: str, pattern: str = SNAPSHOTS, **options
 ) -> DataFrame:
     """The newest snapshot: names carry the hour, so the last name is the newest."""
     return scan_delimited(spark, latest_file(spark, folder, pattern), **options)
@@ -99,12 +165,12 @@ def scan_clean_csv(
 ) -> DataFrame:
     """A comma file written by ``write_csv``, with the types it had.
 
-    Text without line breaks can be split into tasks with ``multiline=False``.
+    Text without line breaks needs one pass less with ``multiline=False``.
     """
-    return (
-        spark.read.schema(schema)
-        .options(header=True, sep=",", quote='"', escape='"', multiLine=multiline)
-        .csv(path)
-    )
-
-
+    options = {"sep": ",", "quote": '"', "escape": '"'}
+    if not multiline:
+        return spark.read.schema(schema).options(header=True, **options).csv(path)
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    places = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    df = _parsed(records(spark, path), places, options | {"multiLine": "true"})
+    return df.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from guichet.sources.delimited import latest_file, scan_delimited
+from guichet.sources.delimited import SNAPSHOTS, latest_file, scan_delimited
 
 
 def refresh_on_snapshot(
@@ -19,7 +19,7 @@ def refresh_on_snapshot(
     folder: str,
     job: Callable[[DataFrame], None],
     checkpoint: str,
-    pattern: str = "*.csv",
+    pattern: str = SNAPSHOTS,
     every: str | None = None,
     **scan_options,
 ) -> StreamingQuery:

@@ -91,6 +91,33 @@ def test_row_order_over_files(spark, tmp_path):
         assert got == sorted(got) and len(got) == 5008
 
 
+@pytest.mark.parametrize("split", [128 << 20, 1500, 97])
+def test_quoted_breaks_over_splits(spark, tmp_path, split, request):
+    """Records that span splits, whole splits inside quotes, files with and without breaks."""
+    rng = random.Random(split)
+    tables = {}
+    for name, breaks in (("a", 0.3), ("b", 0.0), ("c", 0.9)):
+        tables[name] = [
+            [f"{name}{i:04d}", "\n".join(rng.choice(['q"', "", "t;x", "é", ";"]) for _ in range(rng.randint(2, 60))) if rng.random() < breaks else "one"]
+            for i in range(150)
+        ]
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as out:
+            writer = csv.writer(out, delimiter=";", lineterminator="\n")
+            writer.writerows([["key;\nof", "text"], *tables[name]])
+    if split < 1000:
+        request.getfixturevalue("small_broadcasts")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        df = delimited.scan_delimited(spark, str(tmp_path))
+        got = [tuple(r) for r in df.orderBy("row_ord").drop("row_ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert df.columns[:2] == ["key;\nof", "text"]
+    assert got == [(a, None if b == "" else b) for name in "abc" for a, b in tables[name]]
+
+
 def test_scan_latest(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         delimited.scan_latest(spark, str(tmp_path / "absent"))
