@@ -8,10 +8,11 @@ from guichet import vocabulary as V
 from guichet.catalogue import D, MONEY, money, register
 from guichet.functions import dates, numbers, text
 from guichet.operators import columns, filters
+from guichet.operators.ranks import number_rows
 from guichet.plans import datasets
 from guichet.plans.star import LINE_KEY, line_order, raw_declarations
 from guichet.session import shared_folder
-from guichet.sources.delimited import scan_clean_csv, scan_delimited
+from guichet.sources.delimited import scan_clean_csv, scan_delimited, scan_latest
 from guichet.sources.files import scan_table, write_csv, write_parquet
 
 _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -362,16 +363,42 @@ def _(spark, sf):
     return spark.read.parquet(folder)
 
 
+@register(
+    "delimited_with_line_breaks",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang || chr(10) || '"' || coalesce(text, '') || '";' || chr(13) || chr(10) || source AS text,
+      row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",
+)
+def _(spark, sf):
+    """Every text has quoted breaks, quotes and separators; rows come back in file order."""
+    folder = shared_folder(spark)
+    broken = F.concat("lang", F.lit('\n"'), F.coalesce("text", F.lit("")), F.lit('";\r\n'), "source")
+    docs = scan_table(spark, sf, "documents").select("doc_id", broken.alias("text"))
+    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.write.options(header=True, sep=";", quote='"', escape='"').csv(folder)
+    numbered, _ = number_rows(scan_delimited(spark, folder), [F.col("row_ord")])
+    return numbered.drop("row_ord")
+
+
 # Datasets ------------------------------------------------------------------------
 
+
+def _snapshot(raw, path):
+    """The raw declarations as delimited text, in the order of their lines."""
+    ordered = raw.repartitionByRange(*LINE_KEY).sortWithinPartitions(*LINE_KEY)
+    ordered.write.options(header=True, sep=";", quote='"', escape='"').csv(path)
+
+
+def _keys_as_numbers(df):
+    return text.map_columns(df, LINE_KEY, lambda c: c.cast("long"))
+
+
 _COUNTRY = "CASE country WHEN 'NATION_7' THEN 'Turquie' ELSE country END"
 _CHANNEL = "CASE channel WHEN 'BUILDING' THEN 'Réseau' WHEN 'HOUSEHOLD' THEN 'ONG internationale' ELSE channel END"
 _TYPE = "CASE financing WHEN 'R' THEN 'Dons' WHEN 'A' THEN 'Prêt' ELSE 'Annulation' END"
 _ORIGIN = "upper(priority[1]) || lower(priority[2:])"
 
 
-@register(
-    "explore_dataset",
+_EXPLORE = (
     D + f""", r AS (SELECT *, CASE WHEN quantity < 50 THEN project END AS key, round(granted, 4) AS g FROM d),
     u AS (SELECT * FROM r QUALIFY row_number() OVER (
       PARTITION BY signed, committed, key ORDER BY project, line, part, supplier) = 1),
@@ -386,14 +413,27 @@ _ORIGIN = "upper(priority[1]) || lower(priority[2:])"
       sector AS "{V.SECTOR}", {_TYPE} AS "{V.FINANCING_TYPE}", {_CHANNEL} AS "{V.CHANNEL}",
       {_ORIGIN} AS "{V.MOBILISED_ORIGIN}", CAST(marker > 0 AS INTEGER) AS "Genre", signed AS {V.COMMITMENT_DAY},
       CAST(year(signed) AS INTEGER) AS {V.COMMITMENT_YEAR}, CAST(month(signed) AS INTEGER) AS {V.COMMITMENT_MONTH}
-    FROM p""",
+    FROM p"""
 )
-def _(spark, sf):
-    df = datasets.build_explore_dataset(raw_declarations(spark, sf), line_order(), scale=MONEY)
+
+
+def _rounded(df):
     rounded = {V.COMMITTED: 2, V.GRANT_EQUIVALENT: 4, V.PAID: 4}
     return df.select(*[F.round(text.quoted(c), rounded[c]).alias(c) if c in rounded else text.quoted(c) for c in df.columns])
 
 
+@register("explore_dataset", _EXPLORE)
+def _(spark, sf):
+    return _rounded(datasets.build_explore_dataset(raw_declarations(spark, sf), line_order(), scale=MONEY))
+
+
+@register("explore_dataset_from_file", _EXPLORE)
+def _(spark, sf):
+    folder = shared_folder(spark)
+    _snapshot(raw_declarations(spark, sf), folder)
+    return _keys_as_numbers(_rounded(datasets.build_explore_dataset(scan_delimited(spark, folder))))
+
+
 @register(
     "model_dataset",
     D + f"""SELECT project, line, part, supplier, CAST(round(committed, 2) AS DECIMAL(18,2)) AS committed,
@@ -420,19 +460,33 @@ def _(spark, sf):
     )
 
 
-@register(
-    "hourly_features",
+_HOURLY = (
     D + f"""SELECT project, line, part, supplier, agency AS "{V.AGENCY}", {_TYPE} AS "{V.FINANCING_TYPE}",
       CASE country WHEN 'NATION_7' THEN 'Türkiye' ELSE country END AS "{V.COUNTRY}", region AS "{V.REGION}",
       sector AS "{V.SECTOR}", year AS "{V.DECLARATION_YEAR}", round(ln(1 + round(granted, 4)), 9) AS {V.LOG_PAID}
-      FROM d WHERE round(granted, 4) > 0""",
+      FROM d WHERE round(granted, 4) > 0"""
 )
-def _(spark, sf):
-    clean = datasets.build_hourly_clean(raw_declarations(spark, sf))
-    df = datasets.build_hourly_features(clean, keep=LINE_KEY)
+
+
+def _hourly(raw):
+    df = datasets.build_hourly_features(datasets.build_hourly_clean(raw), keep=LINE_KEY)
     return df.withColumn(V.LOG_PAID, F.round(V.LOG_PAID, 9))
 
 
+@register("hourly_features", _HOURLY)
+def _(spark, sf):
+    return _hourly(raw_declarations(spark, sf))
+
+
+@register("hourly_features_from_newest_snapshot", _HOURLY)
+def _(spark, sf):
+    """The snapshot of an hour before holds other lines."""
+    folder, raw = shared_folder(spark), raw_declarations(spark, sf)
+    _snapshot(raw.where("line = 2"), f"{folder}/apd_2024-01-31_23.csv")
+    _snapshot(raw, f"{folder}/apd_2024-02-01_00.csv")
+    return _keys_as_numbers(_hourly(scan_latest(spark, folder)))
+
+
 @register(
     "hourly_clean_totals",
     D + f"""SELECT year AS "{V.DECLARATION_YEAR}", count(*) AS n, {money('round(granted, 4)', 4)} AS paid

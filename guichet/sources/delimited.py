@@ -140,17 +140,19 @@ def scan_delimited(
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str = SNAPSHOTS) -> str:
-    """The last file of a folder by name; file contents are not read."""
+    """The last snapshot of a folder by name, a file or a folder of parts; contents are not read."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = here.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(here).toString().rstrip("/")
+    # What comes after the folder: the snapshot's name, and that of a part of it.
+    name = F.split_part(F.substr("path", F.lit(len(full) + 2)), F.lit("/"), F.lit(1))
     try:
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-        )
-        latest = files.agg(F.max("path")).first()[0]
+        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
+        latest = files.agg(F.max(name)).first()[0]
     except AnalysisException as missing:
-        raise FileNotFoundError(f"no folder {folder}") from missing
+        raise FileNotFoundError(f"no {pattern} in {folder}") from missing
     if latest is None:
-        raise FileNotFoundError(f"no {pattern} file in {folder}")
-    return latest
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return f"{folder.rstrip('/')}/{latest}"
 
 
 def scan_latest(
