@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from guichet.functions.text import quoted
-from guichet.session import ensure_checkpoint_dir, shared_folder
+from guichet.session import ensure_checkpoint_dir, owned, shared_folder
 
 # A side table is broadcast only if it was counted and stays below both bounds.
 BROADCAST_ROWS = 200_000
@@ -25,7 +25,11 @@ def settle(df: DataFrame) -> DataFrame:
     What follows sees the same rows however often tasks are rerun.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    file = written._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        owned(file.get())
+    return written
 
 
 def stage(df: DataFrame) -> DataFrame:

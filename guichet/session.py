@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+# What the innermost ``scratch`` block has written so far.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def build_session(master: str | None = None, app_name: str = "guichet", **conf) -> SparkSession:
     """A session with adaptive execution on and a fixed time zone.
@@ -52,4 +58,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, reachable from every executor."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return owned(f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}")
+
+
+def owned(path: str) -> str:
+    """Note that the surrounding ``scratch`` block, if there is one, is to delete ``path``."""
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what operators write down for themselves when the block ends, also by an error.
+
+    Results that read such tables have to be written inside the block. Blocks may be nested: each
+    deletes its own. Without a block the tables stay, for the cluster's own cleaning.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -444,3 +444,29 @@ def test_compared_forests_have_all_their_trees(spark, monkeypatch):
     with pytest.raises(Called) as seen:
         QUERIES["models_compared_and_selected"](spark, "/root/testdata/sf0.001")
     assert catalogue.train_and_select is training.train_and_select and seen.value.args == (100,)
+
+
+def test_scratch_tables_are_deleted_after_a_job(spark, projects, tmp_path):
+    import os
+
+    from guichet.session import ensure_checkpoint_dir, scratch
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def held():
+        return {n for n in os.listdir(folder) if n.startswith(("table-", "rdd-"))}
+
+    before = held()
+    with scratch(spark):
+        trained = train_and_select(projects, "log_y", ["id"], [F.col("id")], exclude=["Genre"], k=2, trees=2)
+        models.save_model(str(tmp_path), trained.meta.model, trained.features, trained.model, spark)
+        assert held() > before
+    assert held() <= before
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        encode.ordinal_encode(projects, ["agency"]).count()
+        assert held() > before
+        1 / 0
+    assert held() <= before
+    features, model = models.load_model(str(tmp_path), trained.meta.model, spark)
+    assert models.predict(projects, features, model, ["id"]).count() == 600
