@@ -290,7 +290,9 @@ class Mix:
         return settled.unionByName(partly.select(*columns))
 
     def report(self) -> DataFrame:
-        """``doc_id, size, source_size, target, taken, copies`` of every row."""
+        """``doc_id, size, source_size, target, taken, copies, block, shards`` of every row: ``shards``
+        are the output shards that the splitting tree deals the draws of its block to, in the
+        order of the rounds."""
         id_col = self.names[0]
         return self._planned(self.narrow).select(
             F.col("row")[id_col].alias(id_col),
@@ -299,10 +301,12 @@ class Mix:
             "target",
             (F.size("draws") * F.col("size")).cast("long").alias("taken"),
             F.size("draws").alias("copies"),
+            "block",
+            F.col("draws.shard").alias("shards"),
         )
 
     def shards_of_sources(self) -> DataFrame:
-        """``rank, shard, draws``: the block quotas of the shards."""
+        """``rank, shard, draws``: how many block draws of each source the tree gives each shard."""
         return (
             self.blocks.select("rank", F.explode("draws").alias("draw"))
             .groupBy("rank", F.col("draw.shard").alias("shard"))

@@ -198,6 +198,26 @@ def test_mix_of_many_small_blocks(spark, rows, monkeypatch, small_broadcasts):
     assert max(per_shard.values()) - min(per_shard.values()) <= 1
 
 
+def test_shards_of_the_rows_are_those_of_the_tree(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, shards=8)
+    # A block's draws in a round all go to one shard, which the rows of the block show.
+    source_of = {i: s for i, _, s in rows}
+    rank_of = {r["source"] if not r["null_source"] else None: r["rank"] for r in mix.targets.collect()}
+    dealt = {(rank_of[source_of[r["doc_id"]]], r["block"], i, shard) for r in mix.report().collect() for i, shard in enumerate(r["shards"])}
+    assert len({x[:3] for x in dealt}) == len(dealt)
+    got = Counter((rank, shard) for rank, _, _, shard in dealt)
+    want = Counter({(r["rank"], r["shard"]): r["draws"] for r in mix.shards_of_sources().collect()})
+    # Only a block taken in part may have no row that still fits.
+    assert got <= want and (want - got).total() <= len(rank_of)
+    # The tree deals every source by the same law whatever the rows are: halves of its quota.
+    quotas = Counter()
+    for (rank, _), n in want.items():
+        quotas[rank] += n
+    assert sum(quotas.values()) == want.total() and max(Counter(s for _, s in want.elements()).values()) - want.total() / 8 < 1
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.Mix(docs).report().collect() == []

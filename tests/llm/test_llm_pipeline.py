@@ -94,6 +94,25 @@ def test_run_equals_the_stages(spark, stages):
     assert got == want
 
 
+def test_pipeline_leaves_no_scratch_tables(spark, tmp_path):
+    import os
+
+    from guichet.session import ensure_checkpoint_dir, scratch
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def held():
+        return {n for n in os.listdir(folder) if n.startswith(("table-", "rdd-"))}
+
+    before = held()
+    with scratch(spark):
+        corpus_pipeline.run(spark, SF).write.parquet(str(tmp_path / "out"))
+        assert held() > before
+    assert held() <= before
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 @pytest.mark.parametrize(
     "extra", ["empty", "nulls"],
 )
