@@ -20,6 +20,8 @@ GRAM = 8
 REACH = 10
 # A passage holds a kept position among its first REACH, so this many words follow it there.
 CORE = MIN_WORDS - REACH + 1
+# Sorted suffixes that a task compares at a time.
+BLOCK = 1 << 16
 # Beyond its core a match can go on for fewer than REACH words without another kept position.
 BEYOND = REACH - 1
 
@@ -109,23 +111,52 @@ def _common(a: str, b: str) -> Column:
     return F.when(first == 0, F.size(a)).otherwise(first - 1).cast("int")
 
 
+def _nearest_of_others(rows: DataFrame, n: int, name: str, forward: bool) -> DataFrame:
+    """``rows`` with the context of the nearest suffix before (or behind) it that has the same core
+    and is of another document, as ``struct<context>``, null where there is none.
+
+    ``position`` numbers the ``n`` rows in order. They are taken in blocks; what a block begins
+    with follows from the last rows of the blocks before it.
+    """
+    nearest = F.col("position") if forward else F.col("position").desc()
+    in_block = Window.partitionBy("block").orderBy(nearest)
+    here = F.struct("core", "doc", "context")
+    rows = rows.withColumn("before", F.lag(here).over(in_block))
+
+    def seen(before: Column, row: Column) -> Column:
+        """What a run of suffixes of one document and core sees before itself."""
+        other = (before["core"] != row["core"]) | (before["doc"] != row["doc"])
+        return F.when(other, F.struct(F.when(before["core"] == row["core"], before["context"]).alias("context")))
+
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.last(seen(F.col("before"), here), ignorenulls=True).over(upto)).drop("before")
+
+    # One row per block.
+    low, high = F.col("position") % BLOCK == 0, (F.col("position") % BLOCK == BLOCK - 1) | (F.col("position") == n - 1)
+    firsts = rows.where(low if forward else high).select("block", here.alias("first"))
+    lasts = rows.where(high if forward else low).select("block", here.alias("last"), F.col(name).alias("inside"))
+    blocks = stage(firsts.join(lasts, "block"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("block") if forward else F.col("block").desc())
+    entries = blocks.withColumn("own", seen(F.lag("last").over(order), F.col("first")))
+    passed_on = F.last(F.coalesce("inside", "own"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    entries = settle(entries.select("block", F.coalesce("own", passed_on).alias("entry")))
+    return join_side(rows, entries, ["block"], "inner").withColumn(name, F.coalesce(F.col(name), F.col("entry"))).drop("entry")
+
+
 def _agreement(suffixes: DataFrame, context: str) -> DataFrame:
     """``core, doc, place, n``: how many words of ``context`` each suffix has in common with
-    the one before or behind it among the suffixes of its core, in sorted order.
+    the nearest ones of other documents before and behind it among the suffixes of its core,
+    in sorted order.
 
-    The order is spread over range partitions, so a core of many suffixes is split too.
+    The order is spread over range partitions and then over blocks, so a core of many suffixes is
+    split too.
     """
-    rows = suffixes.select("core", context, "doc", "place")
-    sorted_, _ = number_rows(rows, [F.col(c) for c in ("core", context, "doc", "place")], "position")
-    sorted_ = stage(sorted_)
-    behind = sorted_.select((F.col("position") + 1).alias("position"), F.col("core").alias("core_"), F.col(context).alias("context_"))
-    pairs = stage(
-        sorted_.join(behind, "position")
-        .where("core = core_")
-        .select("position", _common(context, "context_").alias("n"))
-    )
-    both = pairs.unionByName(pairs.select((F.col("position") - 1).alias("position"), "n")).groupBy("position").agg(F.max("n").alias("n"))
-    return sorted_.join(both, "position").select("core", "doc", "place", "n")
+    rows = suffixes.select("core", F.col(context).alias("context"), "doc", "place")
+    sorted_, n = number_rows(rows, [F.col(c) for c in ("core", "context", "doc", "place")], "position")
+    sorted_ = stage(sorted_.withColumn("block", F.floor(F.col("position") / BLOCK).cast("long")))
+    both = _nearest_of_others(_nearest_of_others(sorted_, n, "lower", True), n, "upper", False)
+    common = [F.coalesce(_common("context", f"{side}.context"), F.lit(0)) for side in ("lower", "upper")]
+    return both.select("core", "doc", "place", F.greatest(*common).alias("n"))
 
 
 def _with_context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,10 +193,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their first CORE words with another document are found by a hash, reduced in every task.
     Their positions join to runs in each document. Near the two ends of a run the suffixes of
     the same core are sorted by what goes on behind them, and by what comes before them, and
-    each is extended as far as it agrees with a neighbour; the run goes as far as any of them,
-    as the outermost may be shared with other documents than the next. Any 50 words that another document
-    has are found, and every CORE words of a passage are in another document. Cores are named
-    by 64-bit hashes.
+    each is extended as far as it agrees with the nearest suffix of another document on either
+    side; the run goes as far as any of them, as the outermost may be shared with other
+    documents than the next. So a hash of CORE words finds the matches, and the sorted suffixes say
+    how far they reach. Any 50 words that another document has are found, and every CORE words of a
+    passage are in another document. Cores are named by 64-bit hashes. Ids are whole numbers.
 
     A null, empty or short text has no passage. Rows of one id are taken as one document, so
     repeated rows alone are no repeats. A row without an id takes no part. Other columns are

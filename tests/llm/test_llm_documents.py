@@ -301,6 +301,25 @@ def test_passages_whose_first_position_is_shared_with_another(spark):
     assert len(want) == 10 and all(own <= got[i] for i, own in want.items())
 
 
+@pytest.mark.parametrize("block", [1 << 16, 1, 3])
+def test_passages_are_shared_with_other_documents(spark, monkeypatch, block):
+    """A document holds 80 words twice or thrice, another 45 of them: no 50 words are in both."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    random = np.random.default_rng(11)
+    own = lambda n: [f"w{x}" for x in random.integers(0, 1 << 40, n)]
+    texts = []
+    for start in (range(0, 36, 2) if block > 3 else (10, 14)):
+        long = own(80)
+        texts.append((len(texts), " ".join(own(9) + long + own(13) + long + own(7) + (long if start % 4 else []))))
+        texts.append((len(texts), " ".join(own(5) + long[start : start + 45] + own(5))))
+    shared = own(70)
+    texts += [(1000 + i, " ".join(own(3) + shared[i : i + 60] + own(3) + shared[i : i + 60])) for i in range(4)]
+    got = defaultdict(set)
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert got == dict(brute_repeats(texts, suffix_dedup.MIN_WORDS)) and set(got) == {1000, 1001, 1002, 1003}
+
+
 def test_minimisers_agree_in_equal_passages():
     random = np.random.default_rng(1)
     passage = random.integers(0, 1 << 60, 60).astype(np.uint64)
