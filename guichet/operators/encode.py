@@ -33,12 +33,12 @@ def impute_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     )
 
 
-def fit_medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    """Median per column, one scalar each; a column without values gets 0."""
+def fit_medians(df: DataFrame, names: Sequence[str], empty: float | None = 0.0) -> dict[str, float | None]:
+    """Median per column, one scalar each; a column without values gets ``empty``."""
     if not names:
         return {}
     found = {row["column"]: row["value"] for row in median(df, names).collect()}
-    return {c: found.get(c, 0.0) for c in names}
+    return {c: found.get(c, empty) for c in names}
 
 
 def fit_modes(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
@@ -49,8 +49,9 @@ def fit_modes(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
 
 
 def impute_median(df: DataFrame, names: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Medians in place of nulls and NaN; a column without values stays null."""
     numbers = map_columns(df, names, finite)
-    return impute_values(numbers, fit_medians(df if fit_on is None else fit_on, names))
+    return impute_values(numbers, fit_medians(df if fit_on is None else fit_on, names, None))
 
 
 def impute_mode(df: DataFrame, names: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -313,14 +314,15 @@ def feature_frame(
 
     Columns the table lacks are skipped; medians are taken over all rows. ``vector`` names a column
     that holds all of them as one sparse vector, numbers and markers first, whatever the number
-    of categories; without it there is a column each.
+    of categories; without it there is a column each. A number without any value stays null in its
+    column and is 0 in the vector.
     """
     cats = [c for c in categories if c in df.columns]
     nums = [c for c in numbers if c in df.columns]
     marks = [c for c in markers if c in df.columns]
     # Encoders are fitted on a copy of their columns, so the table is run once for them.
     known = stage(df.select(*[quoted(c) for c in dict.fromkeys([*cats, *nums])])) if cats or nums else df
-    medians = fit_medians(known, nums)
+    medians = fit_medians(known, nums, None if vector is None else 0.0)
     filled = [F.coalesce(finite(quoted(c)), F.lit(medians[c])).alias(c) for c in nums]
     if vector is not None:
         dictionary, size = fit_one_hot(known, cats, drop_first=True)

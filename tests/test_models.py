@@ -176,6 +176,13 @@ def test_imputers(spark):
     assert [r["n"] for r in encode.impute_median(df, ["n"], fit_on=train).collect()] == [1.0, 2.5, 4.0, 10.0]
 
 
+def test_numbers_without_values_stay_null(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, None)], "i int, n double, c string")
+    assert [r["n"] for r in encode.impute_median(df, ["n"]).collect()] == [None, None]
+    assert rows(encode.feature_frame(df, ["c"], ["n", "i"], [], [])) == [(None, 1.0), (None, 2.0)]
+    assert [r["v"].toArray().tolist() for r in encode.feature_frame(df, ["c"], ["n", "i"], [], [], "v").collect()] == [[0.0, 1.0], [0.0, 2.0]]
+
+
 def test_feature_frame(spark):
     data = [("b", 2020, None, 1, 0.5), ("a", 2021, 3, 0, 0.7), (None, None, 5, 1, 0.9)]
     df = spark.createDataFrame(data, "`Région` string, y int, m int, FTC int, target double")
