@@ -27,12 +27,15 @@ SYMBOLS = CHUNKS * CHUNK
 GUARANTEED = 2 * CHUNKS - 1
 # Pairs that share a key are judged by all symbols, FINE further ones of 8 bits included. Up to
 # this distance they are compared on full sets; a pair at the similarity threshold is beyond
-# it about three times in a million.
+# it about once in eighty millions, more rarely than it shares no key (once in ten millions).
 FINE = 112
-MOST_ERRORS = 65
+MOST_ERRORS = 72
 
 # A sketch holds the upper halves of so many lowest hashes of a set, of most sets all.
 SKETCH = 1024
+# A pair may be so many standard deviations below the threshold by its sketches. One at the
+# threshold is beyond that about once in 600 millions.
+DEVIATIONS = 6
 
 # Members of a key are compared in blocks of this size, and a centre's partners are split
 # after so many.
@@ -396,7 +399,7 @@ def _may_link(a: list, b: list) -> bool:
     """Whether sets of which ``n, sketch`` is known can reach the threshold.
 
     Whole sets are judged as they are. Of longer ones the lowest hashes of the union are a
-    sample; a pair at the threshold falls five deviations short once in three millions.
+    sample, in which a pair may fall DEVIATIONS short.
     """
     if 100 * min(a[0], b[0]) < PERCENT * max(a[0], b[0]):
         return False
@@ -406,7 +409,7 @@ def _may_link(a: list, b: list) -> bool:
     union = np.union1d(own, other)[:SKETCH]
     common = int((np.isin(union, own) & np.isin(union, other)).sum())
     share = PERCENT / 100
-    return common >= share * len(union) - 5 * (len(union) * share * (1 - share)) ** 0.5
+    return common >= share * len(union) - DEVIATIONS * (len(union) * share * (1 - share)) ** 0.5
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -460,7 +463,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, n_shingles, set_key, component, root, kept`` of every row; without a root a row is the
     only one of its component, or has copies of its set only."""
     on_workers(docs.sparkSession)
-    docs = internal(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    docs = internal(docs, id=id_col, text=text_col)
     with small_batches(docs.sparkSession):
         signed, by_set = _grouped(docs)
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
@@ -477,14 +480,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a signature key are candidates. First each class is held against one central class
     of its keys, which unites most groups; after that only members of a key that are still in
     different components are compared, nearest first. So a group of n copies costs about n
-    comparisons, and yet no pair under a common key stays unlinked if its full sets
-    reach the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
+    comparisons. Links are confirmed on full sets of 64-bit shingle hashes.
+
+    Signatures that differ in at most GUARANTEED symbols share a key. A pair of exactly the least
+    similarity shares none about once in ten millions, and is turned down by its finer signature or
+    its sketch about once in seventy millions; the more similar, the rarer by far. Nothing else
+    separates a pair whose full sets reach the threshold.
 
     ``component_id`` is the lowest id reachable, ``kept`` whether a row has it. A null, empty or
     blank text has no shingles and is linked with nothing. A row without an id cannot be named,
     so it is linked with nothing, has a null ``component_id`` and is kept. Repeated rows are in
     one component; each gives a row. Rows of one id with different texts are linked like rows
-    of different ids. Ids are whole numbers. Other columns are ignored whatever their names.
+    of different ids. Ids may be of any type that has an order. Other columns are ignored whatever
+    their names.
     """
     return _judged(docs, id_col, text_col).select(
         F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept"
@@ -514,7 +522,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = _signed(rows.distinct()).select(F.col("id.row").alias("row"), F.col("id.text").alias("text"), "set_key", "n_shingles")
     groups = found.where("kept").select("id", "set_key", "root").distinct()
     again = (
-        named.withColumn("id", F.col("row")[id_col].cast("long")).join(groups, ["id", "set_key"])
+        named.withColumn("id", F.col("row")[id_col]).join(groups, ["id", "set_key"])
         .groupBy("id", "root", F.when(F.col("root").isNull(), F.col("set_key")).alias("alone"), F.when(F.col("n_shingles") == 0, F.col("text")).alias("blank"))
         .agg(F.min(F.struct("text", "row")).alias("first"))
     )

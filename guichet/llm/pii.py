@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,13 +17,22 @@ from guichet.operators.settle import is_small, join_side, settle, stage
 KEY = b"guichet surrogate key"
 TYPES = ["secret", "email", "iban", "card", "ssn", "phone", "ip", "person"]
 
-# Honorifics with the gender they tell, and given names by script and gender.
+# Honorifics with the gender they tell, scripts by their ranges of characters, and
+# given names by script and gender.
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "",
     "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Herr": "m", "Frau": "f",
     "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f",
     "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
+    "κύριος": "m", "κυρία": "f", "Κύριος": "m", "Κυρία": "f",
+    "السيد": "m", "السيدة": "f", "מר": "m", "גברת": "f",
 }
+SCRIPTS = {
+    "cyrillic": "\u0400-\u04ff", "greek": "\u0370-\u03ff\u1f00-\u1fff", "hebrew": "\u0590-\u05ff",
+    "arabic": "\u0600-\u06ff", "hiragana": "\u3040-\u309f", "katakana": "\u30a0-\u30ff",
+    "han": "\u3400-\u4dbf\u4e00-\u9fff", "hangul": "\uac00-\ud7a3",
+}
+CASELESS = ["hebrew", "arabic", "hiragana", "katakana", "han", "hangul"]
 GIVEN = {
     "latin": {
         "m": "Adam Alan Andrew Anthony Arthur Brian Carl Daniel David Edward Eric Frank George Henry James John Julian Kevin Leon Louis Mark Martin Michael Oscar Paul Peter Robert Samuel Thomas Victor".split(),
@@ -34,20 +44,48 @@ GIVEN = {
         "f": "Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Светлана Софья Татьяна".split(),
         "": "Саша Женя Валя Шура".split(),
     },
+    "greek": {
+        "m": "Αντώνης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σπύρος".split(),
+        "f": "Άννα Βασιλική Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
+        "": "Αλέξ Κρις Ντένης Φίλη".split(),
+    },
+    "hebrew": {
+        "m": "אברהם דוד יוסף יעקב משה שמואל".split(),
+        "f": "אסתר דבורה לאה מרים רחל שרה".split(),
+        "": "גל טל נועם עדי".split(),
+    },
+    "arabic": {
+        "m": "أحمد حسن خالد عمر محمود يوسف".split(),
+        "f": "أمينة خديجة زينب سارة فاطمة ليلى".split(),
+        "": "إحسان صباح نور وسام".split(),
+    },
+    "hiragana": {"m": "けんじ たろう ひろし まさお".split(), "f": "あきこ さくら はなこ ゆみ".split(), "": "あおい ひかる まこと".split()},
+    "katakana": {"m": "ケンジ タロウ ヒロシ マサオ".split(), "f": "アキコ サクラ ハナコ ユミ".split(), "": "アオイ ヒカル マコト".split()},
+    "han": {"m": "伟 强 建国 志明 健 浩".split(), "f": "芳 秀英 丽 美玲 娟 静".split(), "": "文 平 宁 晓".split()},
+    "hangul": {"m": "민준 서준 영수 지훈".split(), "f": "서연 수진 영희 지은".split(), "": "지우 하늘 현".split()},
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe go ha ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to va ve wa".split(),
     "cyrillic": "ба ве во га да де ко ла ле ло ма ме мо на не но па ре ро са се та те то".split(),
+    "greek": "βα βε γα γο δα δε κα κο λα λε μα με να νο πα πο ρα ρο σα σο τα το".split(),
+    "hebrew": "בא בו גי דו די לי לו מי מו ני נו רי רו שי שו תי".split(),
+    "arabic": "با بو دا دي را رو سا سي فا كا لا لي ما مي نا نو".split(),
+    "hiragana": "あ い う え お か き こ さ し た な に の ま み も や ら り".split(),
+    "katakana": "ア イ ウ エ オ カ キ コ サ シ タ ナ ニ ノ マ ミ モ ヤ ラ リ".split(),
+    "han": "王 李 张 刘 陈 杨 赵 黄 周 吴 林 高 文 明 安 平 华 国 海 江 山 石 金 玉 春 秋".split(),
+    "hangul": "가 나 다 라 마 바 사 아 자 하 고 노 도 로 모 보 소 오 조 호".split(),
 }
+# Syllables of a family name, where a character is one: fewer.
+STEM = {"han": 3, "hangul": 3}
 # Attempts with the entity's own shape; each one after these adds a character, so that the
 # surrogates are always more than the entities. A free text needs few: only a short or mostly
 # fixed one collides twice.
 OWN_SHAPE = {"secret": 2, "email": 2}
 OWN_FORMAT = 16
 ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-ENDINGS = {"latin": {"m": "", "f": "", "": ""}, "cyrillic": {"m": "нов", "f": "нова", "": "ненко"}}
+ENDINGS = {script: {"m": "", "f": "", "": ""} for script in SYLLABLES} | {"cyrillic": {"m": "нов", "f": "нова", "": "ненко"}}
 
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+(?:[^\W\d_]{2,}|xn--[A-Za-z0-9-]+)(?![\w-])")
 _SECRET = re.compile(
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]{16,}"
@@ -63,8 +101,16 @@ _PHONE = re.compile(
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
 )
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
-_NAME = r"[^\W\d_a-zà-ÿа-я][\w’'-]+"
-_PERSON = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? ((?:{_NAME} ){{0,2}}{_NAME})")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{3,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w]|:\w)")
+# In a script without capitals a name is one word: nothing tells where a longer one ends.
+_CASELESS = "".join(SCRIPTS[script] for script in CASELESS)
+_NAME = rf"[^\W\d_a-zà-ÿа-яά-ώ{_CASELESS}][\w’'-]+"
+_PERSON = re.compile(
+    rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? "
+    rf"((?:{_NAME} ){{0,2}}{_NAME}|(?!\d)\b[{_CASELESS}][\w’'-]+)"
+)
+_WORD = re.compile(r"\w+")
+_SCRIPT = re.compile("|".join(f"(?P<{script}>[{ranges}])" for script, ranges in SCRIPTS.items()))
 _HAS_DIGIT = re.compile(r"[0-9]")
 # A text in lower case without any of these holds no secret.
 _SIGNS_OF_SECRETS = ("akia", "asia", "ghp", "gho", "ghs", "glpat", "xox", "sk_", "sk-", "pk_", "pk-", "passw", "pwd", "secret", "token", "key")
@@ -90,47 +136,100 @@ def _only_digits(text: str) -> str:
 Mention = tuple[int, int, str, str]
 
 
+def _merged(found: list[Mention], more: Iterable[Mention]) -> list[Mention]:
+    """Both in order, without those of ``more`` that overlap one of ``found``; each has no
+    overlaps of its own and is in order."""
+    out, at = [], 0
+    for mention in more:
+        while at < len(found) and found[at][1] <= mention[0]:
+            out.append(found[at])
+            at += 1
+        if at == len(found) or mention[1] <= found[at][0]:
+            out.append(mention)
+    return out + found[at:]
+
+
+def _numbered(text: str) -> Iterator[Iterator[Mention]]:
+    """The mentions of each type that has digits."""
+
+    def checked(kind: str, pattern: re.Pattern, normal) -> Iterator[Mention]:
+        for m in pattern.finditer(text):
+            entity = normal(m[0])
+            if entity:
+                yield m.start(), m.end(), kind, entity
+
+    def iban(found: str) -> str:
+        bare = found.replace(" ", "")
+        return bare if _iban_ok(bare) else ""
+
+    def card(found: str) -> str:
+        digits = _only_digits(found)
+        return digits if luhn(digits) and len(set(digits)) > 1 else ""
+
+    def phone(found: str) -> str:
+        digits = _only_digits(found)
+        return digits if 8 <= len(digits) <= 15 else ""
+
+    def ip(found: str) -> str:
+        parts = found.split(".")
+        return ".".join(str(int(x)) for x in parts) if all(int(x) < 256 for x in parts) else ""
+
+    def ip6(found: str) -> str:
+        try:
+            return str(ipaddress.IPv6Address(found)) if _HAS_DIGIT.search(found) else ""
+        except ipaddress.AddressValueError:
+            return ""
+
+    yield checked("iban", _IBAN, iban)
+    yield checked("card", _CARD, card)
+    yield checked("ssn", _SSN, _only_digits)
+    yield checked("phone", _PHONE, phone)
+    yield checked("ip", _IP, ip)
+    yield checked("ip", _IP6, ip6)
+
+
+def _bare_names(text: str, people: Mapping[str, str]) -> Iterator[Mention]:
+    """Where names of ``people`` stand as whole words: the longest at each word, from the left.
+
+    A word is looked up by the lengths of the names that begin with it, so the time does not
+    depend on how many names there are.
+    """
+    lengths: dict[str, set[int]] = {}
+    for name in people:
+        lengths.setdefault(_WORD.match(name)[0], set()).add(len(name))
+    by_word = {word: sorted(own, reverse=True) for word, own in lengths.items()}
+    behind = 0
+    for m in _WORD.finditer(text):
+        start = m.start()
+        if start < behind:
+            continue
+        for n in by_word.get(m[0], ()):
+            name = text[start : start + n]
+            if name in people and not _WORD.match(text, start + n):
+                behind = start + n
+                yield start, behind, "person", people[name]
+                break
+
+
 def mentions(text: str) -> list[Mention]:
     """(start, end, type, entity) of what is found, in order and without overlap.
 
     The entity is what mentions of the same thing share: an email in lower case, the digits
-    of a number, a person's gender and names. Where patterns overlap the first of TYPES wins.
-    Once a title has told a person, the bare full or family name is the same person. A title
-    that tells no gender takes the one that the same name has elsewhere in the text.
+    of a number, the shortest form of an address, a person's gender and names. Where patterns
+    overlap the first of TYPES wins. Once a title has told a person, the bare full or family name
+    is the same person. A title that tells no gender takes the one that the same name has
+    elsewhere in the text. The time is in proportion to the text, however many mentions it has.
     """
     found: list[Mention] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(start: int, end: int, kind: str, entity: str) -> None:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
-            found.append((start, end, kind, entity))
-
     lower = text.lower()
     if any(w in lower for w in _SIGNS_OF_SECRETS):
-        for m in _SECRET.finditer(text):
-            group = m.lastgroup or 0
-            add(m.start(group), m.end(group), "secret", m[group])
+        secrets = ((m, m.lastgroup or 0) for m in _SECRET.finditer(text))
+        found = [(m.start(group), m.end(group), "secret", m[group]) for m, group in secrets]
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(m.start(), m.end(), "email", m[0].lower())
+        found = _merged(found, ((m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)))
     if _HAS_DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            bare = m[0].replace(" ", "")
-            if _iban_ok(bare):
-                add(m.start(), m.end(), "iban", bare)
-        for m in _CARD.finditer(text):
-            digits = _only_digits(m[0])
-            if luhn(digits) and len(set(digits)) > 1:
-                add(m.start(), m.end(), "card", digits)
-        for m in _SSN.finditer(text):
-            add(m.start(), m.end(), "ssn", _only_digits(m[0]))
-        for m in _PHONE.finditer(text):
-            if 8 <= len(_only_digits(m[0])) <= 15:
-                add(m.start(), m.end(), "phone", _only_digits(m[0]))
-        for m in _IP.finditer(text):
-            if all(int(x) < 256 for x in m[0].split(".")):
-                add(m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
+        for own in _numbered(text):
+            found = _merged(found, own)
     if any(t in text for t in TITLES):
         people: dict[str, str] = {}
         titled = list(_PERSON.finditer(text))
@@ -142,21 +241,20 @@ def mentions(text: str) -> list[Mention]:
         for name, genders in list(told.items()):
             if " " in name and name.rpartition(" ")[2] not in told:
                 told.setdefault("|" + name.rpartition(" ")[2], set()).update(genders)
+        persons = []
         for m in titled:
             *given, family = m[2].split(" ")
             known = told.get(m[2]) or told.get("|" + m[2]) or set()
             gender = TITLES[m[1]] or (min(known) if len(known) == 1 else "")
             entity = "|".join([gender, " ".join(given), family])
-            add(m.start(2), m.end(2), "person", entity)
+            persons.append((m.start(2), m.end(2), "person", entity))
             people.setdefault(m[2], entity)
         for entity in list(people.values()):
             if not entity.split("|")[1]:
                 continue
             people.setdefault(entity.split("|")[2], entity)
-        for name in sorted(people, key=len, reverse=True):
-            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-                add(m.start(), m.end(), "person", people[name])
-    return sorted(found)
+        found = _merged(_merged(found, persons), _bare_names(text, people))
+    return found
 
 
 def _named(found: list[Mention]) -> set[tuple[str, str]]:
@@ -206,7 +304,7 @@ class Surrogates:
     def _stem(self, family: str, attempt: int) -> str:
         numbers = self.numbers("family", family, str(attempt))
         syllables = SYLLABLES[_script(family)]
-        return "".join(syllables[next(numbers) % len(syllables)] for _ in range(4 + attempt))
+        return "".join(syllables[next(numbers) % len(syllables)] for _ in range(STEM.get(_script(family), 4) + attempt))
 
     def _given(self, gender: str, given: str, numbers: Iterator[int], attempt: int) -> str:
         """As many given names; from the third attempt on the last one has hyphens."""
@@ -243,7 +341,9 @@ class Surrogates:
         if kind == "email":
             local, _, domain = entity.rpartition("@")
             hosts = self.numbers("domain", domain)
-            label = "".join(chr(97 + next(hosts) % 26) for _ in range(8))
+            script = _script(domain)
+            letters = [chr(97 + i) for i in range(26)] if script == "latin" else SYLLABLES[script]
+            label = "".join(letters[next(hosts) % len(letters)] for _ in range(8))
             top = domain.rpartition(".")[2]
             return f"{self._shaped(local, numbers)}{any_of(ALPHANUMERIC[26:], more)}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
         if kind == "card":
@@ -253,6 +353,10 @@ class Surrogates:
             body = self._shaped(entity[4:], numbers) + any_of("0123456789", more)
             turned = "".join(str(int(c, 36)) for c in body + entity[:2] + "00")
             return f"{entity[:2]}{98 - int(turned) % 97:02d}{body}"
+        if kind == "ip" and ":" in entity:
+            # The digits of every group but the first digit of all; no group becomes empty or zero.
+            groups = [any_of("123456789abcdef", 1) + any_of("0123456789abcdef", len(x) - 1) if x else "" for x in entity.split(":")]
+            return entity[0] + ":".join(groups)[1:] + any_of("0123456789abcdef", more)
         if kind == "ip":
             return ".".join(str(1 + next(numbers) % 223 if i == 0 else next(numbers) % 256) for i in range(4 + more))
         if kind == "phone":
@@ -270,7 +374,9 @@ class Surrogates:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
+    """The script of the first character that is in one of SCRIPTS, else Latin."""
+    found = _SCRIPT.search(name)
+    return found.lastgroup if found else "latin"
 
 
 def rendered(kind: str, mention: str, entity: str, surrogate: str) -> str:
@@ -286,7 +392,7 @@ def rendered(kind: str, mention: str, entity: str, surrogate: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         letters = iter(surrogate)
         return "".join(next(letters) if c.isalnum() else c for c in mention) + "".join(letters)
-    if kind == "email" and mention.isupper():
+    if (kind == "email" or ":" in surrogate and kind == "ip") and mention.isupper():
         return surrogate.upper()
     return surrogate
 
@@ -377,7 +483,7 @@ def replace(
     document and run. A first pass gathers the distinct entities and settles collisions;
     their few exceptions are broadcast if they were counted and are small, else they are
     joined to the documents that mention them. ``counts`` names a column to add: an array with
-    the number of mentions of each of TYPES. ``length_col`` names a column that is to hold the
+    the number of mentions of each of TYPES, in place of one of that name. ``length_col`` names a column that is to hold the
     new number of characters.
 
     A null text stays null, a text without entities stays as it is, repeated rows get equal
@@ -385,6 +491,7 @@ def replace(
     """
     spark = docs.sparkSession
     on_workers(spark)
+    docs = docs.drop(counts) if counts else docs
     texts = internal(docs, text=text_col)
     exceptions = colliding(_entities(texts), key)
     broadcast = is_small(exceptions)

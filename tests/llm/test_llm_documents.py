@@ -1,6 +1,8 @@
 """Document operators against brute force."""
 
+import ipaddress
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -362,6 +364,56 @@ def test_surrogates_keep_format_and_reference():
     assert pii._replaced(PERSONAL, pii.Surrogates(b"other"), {})[0] != text
 
 
+@pytest.mark.parametrize(
+    ("script", "title", "name"),
+    [
+        ("greek", "Dr", "Παπαδόπουλος"), ("greek", "Κυρία", "Ελένη Νικολάου"), ("han", "Mr", "王小明"), ("hangul", "Ms", "김영희"),
+        ("hiragana", "Mr", "さとう"), ("katakana", "Mr", "サトウ"), ("arabic", "السيد", "محمد"), ("hebrew", "מר", "כהן"),
+        ("cyrillic", "Госпожа", "Анна Петрова"), ("latin", "Frau", "Jürgen Müller"),
+    ],
+)
+def test_surrogates_keep_script_and_gender(script, title, name):
+    text, found = pii._replaced(f"{title} {name}, {name}.", pii.Surrogates(b"key"), {})
+    assert [m[2] for m in found] == ["person", "person"] and {m[3].split("|")[0] for m in found} == {pii.TITLES[title]}
+    first, second = text[len(title) + 1 : -1].split(", ")
+    assert first == second != name
+    assert {pii._script(word) for word in first.split(" ")} == {script}
+    if " " in name:
+        assert first.split(" ")[0] in pii.GIVEN[script][pii.TITLES[title]]
+
+
+def test_addresses_beyond_ascii_and_the_older_internet():
+    old = "user@müller.de a@почта.рф 2001:db8:85a3::8a2e:370:7334 2001:DB8::1 fe80::1: at 12:30:45 std::a1::b dead:beef"
+    text, found = pii._replaced(old, pii.Surrogates(b"key"), {})
+    assert [m[2] for m in found] == ["email", "email", "ip", "ip", "ip"]
+    assert not [x for x in ("müller", "почта", "85a3", "DB8::1", "fe80::1") if x in text]
+    assert text.endswith(": at 12:30:45 std::a1::b dead:beef")
+    again = pii.mentions(text)
+    assert [m[2] for m in again] == [m[2] for m in found]
+    assert pii._script(again[1][3].split("@")[1]) == "cyrillic"
+    assert ipaddress.ip_address(again[2][3]) and text.split(" ")[3].isupper()
+    # All ways to write one address have one surrogate.
+    one, _ = pii._replaced("2001:db8::1 2001:DB8:0:0:0:0:0:1", pii.Surrogates(b"key"), {})
+    assert len({x.lower() for x in one.split(" ")}) == 1
+
+
+def test_very_many_mentions_in_one_text():
+    """100,000 names and as many emails; comparing each with all others would take an hour."""
+    names = ["N" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(100_000)]
+    text = " ".join(f"Mr Ann {n} met {n}, {n.lower()}@mail.com." for n in names)
+    start = time.process_time()
+    found = pii.mentions(text)
+    assert time.process_time() - start < 30
+    assert Counter(m[2] for m in found) == {"person": 200_000, "email": 100_000}
+    assert found == sorted(found) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_counts_take_the_place_of_a_column_of_that_name(spark):
+    frame = spark.createDataFrame([(1, "a@b.com", "x")], "doc_id long, text string, found string")
+    got = pii.replace(frame, counts="found")
+    assert got.columns == ["doc_id", "text", "found"] and got.first()["found"][pii.TYPES.index("email")] == 1
+
+
 def test_mentions_next_to_each_other():
     kinds = [m[2] for m in pii.mentions("+1 (269) 555-3296 4524132264652876 41.2.3.4 +1 (383) 555-6083 a.1@b.co")]
     assert kinds == ["phone", "card", "ip", "phone", "email"]

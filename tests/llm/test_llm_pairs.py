@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,6 +129,28 @@ def test_keep_one_of_each_where_ids_have_several_texts(spark):
     assert got == sorted([(5, z, "a"), (6, x, "a"), (8, w, "a"), (9, "", "a"), (9, None, "a"), (9, text("v"), "a"), (None, z, "a")], key=repr)
 
 
+def test_near_duplicates_with_names_for_ids(spark):
+    copies = near_copies(3, 5, edits=1)
+    rows = [("b", copies[0]), ("a", copies[1]), ("10", copies[2]), ("9", "another text of a few words"), (None, copies[3]), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash_join.near_duplicates(docs).collect()}
+    first = {name: ("10", name == "10") for name in ("a", "b", "10")}
+    assert got == {**first, "9": ("9", True), "c": ("c", True), None: (None, True)}
+    assert sorted(r["doc_id"] or "" for r in minhash_join.keep_one_of_each(docs).collect()) == ["", "10", "9", "c"]
+
+
+def test_pairs_at_the_threshold_are_lost_less_often_than_keys_lose_them():
+    def beyond(n, most, p):
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+
+    differ = 1 - minhash_join.PERCENT / 100
+    no_key = beyond(minhash_join.CHUNK, 1, differ) ** minhash_join.CHUNKS
+    assert beyond(minhash_join.SYMBOLS + minhash_join.FINE, minhash_join.MOST_ERRORS, differ) < no_key / 5
+    n = minhash_join.SKETCH
+    least = math.ceil(n * (1 - differ) - minhash_join.DEVIATIONS * (n * differ * (1 - differ)) ** 0.5)
+    assert beyond(n, n - least, differ) < no_key / 5
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_join.near_duplicates(docs).collect() == []
