@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from guichet import session
 from guichet import vocabulary as V
 from guichet.operators.models import ModelMeta, model_card
 from guichet.plans import datasets
@@ -247,3 +248,22 @@ def test_overwriting_an_input_is_refused_in_any_form(spark, tmp_path, monkeypatc
     with pytest.raises(ValueError):
         files.write_parquet(spark.read.parquet(str(folder)), path)
     assert spark.read.parquet(str(folder)).count() == 5
+
+
+def test_filters_stay_above_the_parsed_cells(spark, tmp_path):
+    """Filters on cells that reach below the parser parse a record again for each of them."""
+    (tmp_path / "a.csv").write_text("x;y;z\n1;a;b\n2;;c\n")
+    df = delimited.scan_delimited(spark, str(tmp_path)).where("x is not null and y is not null and z is not null")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert [r["x"] for r in df.collect()] == ["1"]
+
+
+def test_records_with_breaks_are_not_written_down(spark, tmp_path):
+    """Nor do lines meet more often than once per split and once over splits."""
+    (tmp_path / "a.csv").write_text('x;y\n1;"a\nb"\n2;c\n3;"d\n"\n')
+    with session.scratch(spark):
+        df = delimited.scan_delimited(spark, str(tmp_path))
+        assert not [p for p in session._written.get() if "/table-" in p]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 3
+        assert [tuple(r)[:2] for r in df.orderBy("row_ord").collect()] == [("1", "a\nb"), ("2", "c"), ("3", "d\n")]
