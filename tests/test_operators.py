@@ -509,3 +509,36 @@ def test_domain_of_a_column_without_values(spark):
     df = spark.createDataFrame([("x", None), ("y", None)], "a string, b string")
     got = {r["column"]: r["values"] for r in profile.dropdown_domains(df, ["a", "b"]).collect()}
     assert got == {"a": ["x", "y"], "b": []}
+
+
+def test_first_rows_settle_what_is_no_number(spark):
+    """A pass over all rows would meet the error in the last of them."""
+    late = F.when(F.col("id") < 90_000, F.lit("word")).otherwise(F.raise_error(F.lit("read")).cast("string"))
+    df = spark.range(0, 100_000, 1, 8).select(late.alias("a"))
+    assert columns.infer_numbers(df, ["a"]).schema["a"].dataType.simpleString() == "string"
+    numbers = spark.range(0, 5000, 1, 2).select(F.when(F.col("id") < 4999, "1").otherwise("word").alias("a"))
+    assert columns.infer_numbers(numbers, ["a"]).schema["a"].dataType.simpleString() == "string"
+
+
+def test_rollup_takes_one_shuffle_but_for_hot_keys(spark, lines, monkeypatch):
+    order = [F.col("row_ord")]
+    want = sorted(rows(projects.project_rollup(lines, "key", "day", "amount", order, ["amount", "grant"])), key=repr)
+    # No key but null is hot.
+    monkeypatch.setattr(settle, "HOT_KEYS", 1)
+    out = projects.project_rollup(lines, "key", "day", "amount", order, ["amount", "grant"])
+    cold = out._jdf.queryExecution().executedPlan().toString()
+    # One by key, two for the lines without a key.
+    assert cold.count("Exchange hashpartitioning") == 3
+    assert sorted(rows(out), key=repr) == want
+
+
+def test_distinct_values_of_a_table_are_counted_apart(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("b", None, None), (None, 4, 1.0)], "k string, p int, v double")
+    spec = ChartSpec(type="table", keys=["k"], measures=[("sum", "v"), ("nunique", "p"), ("count", None), ("nunique", "v")])
+    out = chart_query(df, spec)
+    assert out.columns == ["k", "sum_v", "nunique_p", "count", "nunique_v"]
+    assert rows(out) == [("a", 5.0, 1, 2, 2), ("b", 0.0, 0, 1, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # No aggregate holds sums and distinct values.
+    assert not [line for line in plan.splitlines() if "sum(" in line and "count(distinct" in line]
+    assert not [line for line in plan.splitlines() if "Expand" in line]
