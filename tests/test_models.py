@@ -477,3 +477,18 @@ def test_scratch_tables_are_deleted_after_a_job(spark, projects, tmp_path):
     assert held() <= before
     features, model = models.load_model(str(tmp_path), trained.meta.model, spark)
     assert models.predict(projects, features, model, ["id"]).count() == 600
+
+
+def test_medians_are_fitted_on_a_copy(spark, monkeypatch):
+    """The passes of the fit read the copy, not the join behind the table."""
+    left = spark.createDataFrame([(1, "a", 1.0), (2, None, None), (3, "a", 4.0)], "i int, c string, n double")
+    df = left.join(spark.range(1, 4).select(F.col("id").cast("int").alias("i")).hint("merge"), "i")
+    plans, fit = [], encode.fit_medians
+
+    def noted(given, *rest):
+        plans.append(given._jdf.queryExecution().optimizedPlan().toString())
+        return fit(given, *rest)
+
+    monkeypatch.setattr(encode, "fit_medians", noted)
+    assert sorted(r["n"] for r in encode.impute_median(df, ["n"]).collect()) == [1.0, 2.5, 4.0]
+    assert plans and "Join" not in plans[0]
