@@ -523,13 +523,18 @@ def test_first_rows_settle_what_is_no_number(spark):
 def test_rollup_takes_one_shuffle_but_for_hot_keys(spark, lines, monkeypatch):
     order = [F.col("row_ord")]
     want = sorted(rows(projects.project_rollup(lines, "key", "day", "amount", order, ["amount", "grant"])), key=repr)
-    # No key but null is hot.
+    # A long table; no key but null is hot.
+    monkeypatch.setattr(settle, "SERIES_ROWS", 0)
     monkeypatch.setattr(settle, "HOT_KEYS", 1)
     out = projects.project_rollup(lines, "key", "day", "amount", order, ["amount", "grant"])
     cold = out._jdf.queryExecution().executedPlan().toString()
     # One by key, two for the lines without a key.
     assert cold.count("Exchange hashpartitioning") == 3
     assert sorted(rows(out), key=repr) == want
+    # Every key with two lines is hot.
+    monkeypatch.setattr(settle, "HOT_KEYS", 5)
+    mixed = projects.project_rollup(lines, "key", "day", "amount", order, ["amount", "grant"])
+    assert sorted(rows(mixed), key=repr) == want
 
 
 def test_distinct_values_of_a_table_are_counted_apart(spark):
