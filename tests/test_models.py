@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guichet import vocabulary as V
-from guichet.operators import encode, models, splits
+from guichet.operators import encode, models, settle, splits
 from guichet.operators.aggregate import dataset_stats, regression_metrics
 from guichet.plans.scoring import describe_prediction, score_batch
 from guichet.plans.training import train_and_select, train_forest_tracked
@@ -492,3 +492,18 @@ def test_medians_are_fitted_on_a_copy(spark, monkeypatch):
     monkeypatch.setattr(encode, "fit_medians", noted)
     assert sorted(r["n"] for r in encode.impute_median(df, ["n"]).collect()) == [1.0, 2.5, 4.0]
     assert plans and "Join" not in plans[0]
+
+
+def test_tasks_of_long_look_ups_are_bounded_by_rows(spark, small_broadcasts, monkeypatch):
+    """Packed bytes say little of what a task sorts: it gets about as many rows as it is to have."""
+    monkeypatch.setattr(settle, "TASK_ROWS", 100, raising=False)
+    df = spark.range(4000).select("id", F.col("id").cast("string").alias("name"))
+    fitted = settle.stage(df.where("id % 2 = 0").select("name", F.col("id").alias("code")))
+    joined = settle.stage(settle.attach(df, fitted, ["name"]).withColumn("task", F.spark_partition_id()))
+    assert joined.where("code <=> if(id % 2 = 0, id, null)").count() == 4000
+    assert joined.groupBy("task").count().agg(F.max("count")).first()[0] < 250
+
+    places, size = encode.fit_one_hot(df, ["name"])
+    found = settle.stage(encode.one_hot_positions(df, ["name"], places).withColumn("task", F.spark_partition_id()))
+    assert size == 4000 and found.select(F.explode("positions")).distinct().count() == 4000
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 250
