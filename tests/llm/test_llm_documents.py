@@ -116,6 +116,45 @@ def test_quality_on_held_out_labels(spark):
     assert sum(not r["kept"] for r in bad) >= 0.8 * len(bad)
 
 
+def words_with(symbols, n=40):
+    """A text of different words with so many symbols."""
+    return " ".join(f"word{i}" + "#" * (symbols // n + (i < symbols % n)) for i in range(n))
+
+
+@pytest.mark.parametrize("held", [quality.HELD_VECTORS, 1])
+def test_every_label_counts(spark, monkeypatch, held):
+    """Bad documents are few among many labels, beyond any number of rows that a sample would hold."""
+    monkeypatch.setattr(quality, "HELD_VECTORS", held)
+    n = 9000
+    made = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 1800 = 7 AS int) AS bad")
+    texts = spark.createDataFrame([(0, words_with(0)), (1, words_with(80))], "bad int, text string")
+    docs, labels = made.join(texts, "bad").select("doc_id", "text"), made.selectExpr("doc_id", "1 - bad AS quality")
+    forest = quality.fit_forest(docs, labels)
+    counted = quality._labelled_vectors(docs, labels, "doc_id", "text", "quality").agg(F.sum("n_good"), F.sum("n_bad")).first()
+    assert tuple(counted) == (n - 5, 5)
+    got = quality.judge(docs, forest).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in got} == {True: n - 5, False: 5}
+
+
+def test_rows_left_in_tasks(spark, monkeypatch):
+    """Measured in tasks, the threshold is the one that all scores at once give."""
+    random = np.random.default_rng(3)
+    bad = random.random(600) < 0.05
+    rows = [(i, words_with(int(random.integers(0, 30) * (1 + 10 * b))), int(not b)) for i, b in enumerate(bad)]
+    rows += [(None, words_with(5), 1), (5, words_with(9), rows[5][2]), (6, "too short", rows[6][2])]
+    made = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = made.select("doc_id", "text"), made.select("doc_id", "quality").unionByName(made.limit(0).select("doc_id", "quality"))
+    monkeypatch.setattr(quality, "HELD_VECTORS", 1)
+    monkeypatch.setattr(quality, "is_small", lambda df: False)
+    forest = quality.fit_forest(docs, labels)
+    assert (forest.feature >= 0).any(axis=1).all()
+    texts = [(t, q) for i, t, q in rows if i is not None]
+    stats = quality.statistics(pa.array([t for t, _ in texts]))
+    ok = ~quality.base_failed(stats)
+    scores, good = forest.scores(quality.features(stats)[ok]), np.array([q > 0 for _, q in texts])[ok]
+    assert forest.threshold == quality.calibrate(scores, good) != quality.NO_THRESHOLD
+
+
 def test_forest_scores():
     rows = np.concatenate([np.zeros((300, 2)), [[9.0, 9.0]]])
     forest = quality.grow_forest(rows, trees=50)
