@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from guichet import session
 from guichet import vocabulary as V
+from guichet.catalogue import cleaning
+from guichet.operators import settle
 from guichet.operators.models import ModelMeta, model_card
 from guichet.plans import datasets
 from guichet.sources import delimited, files
@@ -267,3 +270,38 @@ def test_records_with_breaks_are_not_written_down(spark, tmp_path):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 3
         assert [tuple(r)[:2] for r in df.orderBy("row_ord").collect()] == [("1", "a\nb"), ("2", "c"), ("3", "d\n")]
+
+
+def _shuffled(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for f in manager.getAllFiles().mkString("\n").split("\n") if (name := os.path.basename(f)).startswith("shuffle_")}
+
+
+def test_a_snapshot_leaves_packed_text_alone(spark, tmp_path, monkeypatch):
+    """Its shuffles are deleted, its files are packed and short, and its rows come back in order."""
+    monkeypatch.setattr(cleaning, "SNAPSHOT_ROWS", 20)
+    names = ["signed", "committed", "granted", "quantity", "marker", "financing", "year", "priority", "channel", "country", "region", "sector", "agency"]
+    given = {"signed": "timestamp'2024-01-31'", "financing": "'R'", "year": "2024", "marker": "0.5", "quantity": "3.0"}
+    columns = [f"{given.get(c, '1.5' if c in ('committed', 'granted') else repr(c))} AS {c}" for c in names]
+    lines = spark.range(200).selectExpr("199 - id AS project", "1 AS line", "2L AS part", "3L AS supplier", *columns)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffled(spark), spark.conf.get(setting)
+    cleaning._snapshot(lines, str(tmp_path / "s"))
+    assert spark.conf.get(setting) == was
+    for _ in range(100):
+        if not _shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffled(spark) - before
+    parts = [f for f in os.listdir(tmp_path / "s") if f.startswith("part-")]
+    assert len(parts) >= 10 and all(f.endswith(".gz") for f in parts)
+    back = delimited.scan_delimited(spark, str(tmp_path / "s")).orderBy("row_ord").select("project").collect()
+    assert [r[0] for r in back] == [str(i) for i in range(200)]
+
+
+def test_parsed_rows_are_packed(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(datasets, "stage", lambda df, **options: written.append(options) or settle.stage(df, **options))
+    raw = spark.createDataFrame([("1", "01/02/2024", "1,5"), ("1", "01/02/2024", "2,5")], [V.PROJECT_KEY, V.COMMITMENT_DATE, V.COMMITTED])
+    got = datasets.build_explore_dataset(raw, [F.col(V.COMMITTED)]).collect()
+    assert [r[V.COMMITTED] for r in got] == [4.0] and written == [{"compression": "zstd"}]
